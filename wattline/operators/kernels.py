@@ -110,31 +110,33 @@ def gpd_fit(excess: np.ndarray) -> tuple[float, float]:
     return xi, float(xi / theta)
 
 
-def lasso_gram(gram: np.ndarray, xy: np.ndarray, penalty: float, start: np.ndarray | None = None, sweeps: int = 2000,
-               tol: float = 1e-7) -> np.ndarray:
-    """Coordinate descent for 0.5 b'Gb - b'xy + penalty |b|_1."""
-    beta = np.zeros(len(xy)) if start is None else start.copy()
-    grad = xy - gram @ beta
+def lasso_paths(gram: np.ndarray, xy: np.ndarray, penalties: np.ndarray, sweeps: int = 60, tol: float = 1e-4) -> np.ndarray:
+    """Lasso coefficients (L, p, h) for h targets that share one Gram matrix, along L decreasing penalties each.
+
+    Minimises 0.5 b'Gb - b'xy + penalty |b|_1 per target by coordinate descent.  One coordinate is updated for all targets
+    at once, and each penalty starts from the previous solution.
+    """
+    p, h = xy.shape
+    beta, grad = np.zeros((p, h)), xy.copy()
     diag = np.maximum(np.diag(gram), 1e-12)
-    active = np.arange(len(xy))
-    for sweep in range(sweeps):
-        moved = 0.0
-        for j in active:
-            rho = grad[j] + diag[j] * beta[j]
-            new = math.copysign(max(abs(rho) - penalty, 0.0), rho) / diag[j]
-            step = new - beta[j]
-            if step:
-                grad -= gram[:, j] * step
-                beta[j] = new
-                moved = max(moved, abs(step) * math.sqrt(diag[j]))
-        if moved < tol * max(1.0, np.abs(xy).max() ** 0.5):
-            if len(active) == len(xy):
+    out = np.empty((len(penalties), p, h))
+    scale = tol * np.maximum(np.abs(xy).max(axis=0), 1e-12)
+    for n, lam in enumerate(penalties):
+        for _ in range(sweeps):
+            moved = np.zeros(h)
+            live = np.flatnonzero((np.abs(grad) > lam).any(axis=1) | (beta != 0).any(axis=1))
+            for j in live:
+                rho = grad[j] + diag[j] * beta[j]
+                new = np.sign(rho) * np.maximum(np.abs(rho) - lam, 0.0) / diag[j]
+                step = new - beta[j]
+                if step.any():
+                    grad -= gram[:, j:j + 1] * step
+                    beta[j] = new
+                    np.maximum(moved, np.abs(step) * diag[j], out=moved)
+            if (moved <= scale).all():
                 break
-            active = np.arange(len(xy))               # full pass to confirm the active set
-        elif sweep % 5 == 0:
-            nz = np.flatnonzero(beta)
-            active = nz if len(nz) else np.arange(len(xy))
-    return beta
+        out[n] = beta
+    return out
 
 
 def ridge_solve(gram: np.ndarray, xy: np.ndarray, ridge: float) -> np.ndarray:
