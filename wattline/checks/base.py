@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.plans.folds import Fold, monthly_folds
@@ -61,7 +61,7 @@ class Tables:
         g = j.groupBy(F.to_date("l_shipdate").alias("d"), F.col("o_orderpriority").alias("zone")).agg(
             F.sum("p").cast("double").alias("_p"), F.count(F.lit(1)).alias("_n"), F.sum(F.col("p") * F.col("q")).cast("double").alias("_pq"),
             F.sum("q").cast("double").alias("_q"))
-        return g.select("d", "zone", F.round(F.col("_p") / F.col("_n") / 1000, 4).alias("da"), F.round(F.col("_pq") / F.col("_q") / 1000, 4).alias("rt"))
+        return g.select("d", "zone", half_up(F.col("_p") / F.col("_n") / 1000).alias("da"), half_up(F.col("_pq") / F.col("_q") / 1000).alias("rt"))
 
     def lagged_book(self) -> DataFrame:
         """Book with da of 1, 2 and 7 days and rt of 2 days earlier, by calendar date."""
@@ -89,6 +89,11 @@ def parents(t: Tables, names: tuple = ("m1", "m7", "m2")) -> dict[str, DataFrame
     return {n: p.filter(F.col("trial") == n).drop("trial") for n in names}
 
 
+def half_up(x: Column, scale: int = 10_000) -> Column:
+    """Round by floor(x * scale + 0.5): the same double arithmetic in both engines, ties included."""
+    return F.floor(x * F.lit(float(scale)) + F.lit(0.5)) / F.lit(float(scale))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a fixed number of places, times without zone."""
     cols = {c: F.round(F.col(c), digits) + F.lit(0.0) for c, t in df.dtypes if t == "double"}
@@ -102,9 +107,9 @@ SHIFTED_SQL = f"""ev AS (SELECT ts + INTERVAL {SHIFT_DAYS} DAY AS ts_utc, event_
 LOCAL = "timezone('America/New_York', timezone('UTC', {0}))"
 BOOK_SQL = """book AS (
   SELECT CAST(l_shipdate AS DATE) AS d, o_orderpriority AS zone,
-         round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 1000, 4) AS da,
-         round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE)
-               / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / 1000, 4) AS rt
+         floor(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 1000 * 10000 + 0.5) / 10000 AS da,
+         floor(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE)
+               / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / 1000 * 10000 + 0.5) / 10000 AS rt
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 LAGGED_SQL = BOOK_SQL + """,
 lagged AS (

@@ -36,15 +36,21 @@ def has_quantiles(prefix: str = "") -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{prefix}{c}").isNotNull() for c in QCOLS])
 
 
+def _loss_sum(y: Column, prefix: str, weights: list[float]) -> Column:
+    """Weighted sum of the 21 pinball losses as one array expression: unrolled, it outgrows the 64 KB limit of a generated
+    method and the whole stage loses code generation."""
+    spec = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(w).alias("w")) for q, w in zip(QUANTILES, weights)])
+    terms = F.zip_with(qarray(prefix), spec, lambda q, s: F.greatest(s["q"] * (y - q), (s["q"] - 1) * (y - q)) * s["w"])
+    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+
+
 def crps(y: Column, prefix: str = "") -> Column:
-    """Row CRPS by the midpoint rule; NULL when any level is missing (greatest alone would skip NULLs)."""
-    terms = [pinball(y, F.col(f"{prefix}{c}"), q) * F.lit(w) for c, q, w in zip(QCOLS, QUANTILES, CELL_WIDTHS)]
-    return F.when(has_quantiles(prefix) & y.isNotNull(), F.lit(2.0) * reduce(add, terms))
+    """Row CRPS by the midpoint rule; NULL when any level is missing (a NULL term makes the sum NULL)."""
+    return F.lit(2.0) * _loss_sum(y, prefix, CELL_WIDTHS)
 
 
 def pinball_mean(y: Column, prefix: str = "") -> Column:
-    terms = [pinball(y, F.col(f"{prefix}{c}"), q) for c, q in zip(QCOLS, QUANTILES)]
-    return F.when(has_quantiles(prefix) & y.isNotNull(), reduce(add, terms) / F.lit(float(len(QCOLS))))
+    return _loss_sum(y, prefix, [1.0 / len(QCOLS)] * len(QCOLS))
 
 
 def covered(y: Column, lo: str, hi: str) -> Column:
@@ -54,10 +60,9 @@ def covered(y: Column, lo: str, hi: str) -> Column:
 def monotone(df: DataFrame, prefix: str = "") -> DataFrame:
     """Sort every quantile row ascending."""
     names = [f"{prefix}{c}" for c in QCOLS]
-    arr = F.sort_array(F.array(*names))
-    ok = has_quantiles(prefix)
-    out = df.withColumn("_q", F.when(ok, arr).otherwise(F.array(*names)))
-    return out.withColumns({c: F.col("_q")[i] for i, c in enumerate(names)}).drop("_q")
+    q = qarray(prefix)
+    row = F.when(F.exists(q, lambda x: x.isNull()), q).otherwise(F.sort_array(q))
+    return df.withColumn("_q", row).withColumns({c: F.col("_q")[i] for i, c in enumerate(names)}).drop("_q")
 
 
 def distribution_mean(prefix: str = "") -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.functions.quantiles import monotone
 from wattline.plans.folds import Fold, assign_test_fold, spread_history
 from wattline.settings import QCOLS, QUANTILES
 
@@ -32,9 +31,9 @@ def residual_tables(errors: DataFrame, by: list[str], min_obs: int = MIN_OBS, re
 def attach_quantiles(pred: DataFrame, cell: DataFrame, pool: DataFrame, by: list[str]) -> DataFrame:
     """mean + residual quantiles of the row's cell, else of its pool, sorted."""
     base = pred.drop(*[c for c in QCOLS if c in pred.columns])
-    j = base.join(cell, [*by, *CELL], "left").join(pool, [*by, *POOL], "left").withColumn("_u", F.coalesce("_q", "_qp"))
-    out = j.withColumns({c: F.col("mean") + F.col("_u")[i] for i, c in enumerate(QCOLS)}).drop("_q", "_qp", "_u")
-    return monotone(out)
+    j = base.join(cell, [*by, *CELL], "left").join(pool, [*by, *POOL], "left")
+    row = F.sort_array(F.transform(F.coalesce("_q", "_qp"), lambda x: F.col("mean") + x))
+    return j.withColumn("_row", row).select(*base.columns, *[F.col("_row")[i].alias(c) for i, c in enumerate(QCOLS)])
 
 
 def training_quantiles(pred: DataFrame, train: DataFrame, lookback_days: int = 365, min_obs: int = MIN_OBS) -> DataFrame:
@@ -49,17 +48,18 @@ def training_quantiles(pred: DataFrame, train: DataFrame, lookback_days: int = 3
     return attach_quantiles(pred, cell, pool, ["fold"])
 
 
-def oos_quantiles(pred: DataFrame, folds: list[Fold], lookback_days: int = 365, min_obs: int = MIN_OBS) -> DataFrame:
-    """Quantiles from the run's own earlier out-of-sample errors, for all folds in one job.
+def oos_quantiles(pred: DataFrame, folds: list[Fold], lookback_days: int = 365, min_obs: int = MIN_OBS, by: list[str] | None = None) -> DataFrame:
+    """Quantiles from the run's own earlier out-of-sample errors, for all folds (and all runs named by `by`) in one job.
 
     An error is usable by a fold when its day is before that fold's training end and within the look-back; a fold without
     history keeps NULL quantiles.
     """
     tagged = assign_test_fold(pred.drop("fold"), folds)
     past = tagged.filter(F.col("scored") & F.col("y").isNotNull() & F.col("mean").isNotNull())
-    past = past.select("delivery_date", *CELL, (F.col("y") - F.col("mean")).alias("r"))
+    keys = ["fold", *(by or [])]
+    past = past.select(*(by or []), "delivery_date", *CELL, (F.col("y") - F.col("mean")).alias("r"))
     hist = spread_history(past, folds, lookback_days)
-    last = hist.groupBy("fold").agg(F.max("delivery_date").alias("_last"))
-    recent = hist.join(last, "fold").filter(F.col("delivery_date") > F.date_sub("_last", lookback_days))
-    cell, pool = residual_tables(recent, ["fold"], min_obs)
-    return attach_quantiles(tagged, cell, pool, ["fold"]).drop("train_end")
+    last = hist.groupBy(*keys).agg(F.max("delivery_date").alias("_last"))
+    recent = hist.join(last, keys).filter(F.col("delivery_date") > F.date_sub("_last", lookback_days))
+    cell, pool = residual_tables(recent, keys, min_obs)
+    return attach_quantiles(tagged, cell, pool, keys).drop("train_end")
