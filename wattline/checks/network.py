@@ -49,9 +49,9 @@ def sparse_gram(t: Tables):
 
 
 @check("cobinding_graph", f"""WITH {SHADOW_SQL}, {CAT_SQL}, x AS (SELECT cat.yr, cat.market, d, cat.key, r FROM sp JOIN cat ON cat.yr = year(d) AND cat.market = sp.market AND cat.key = sp.key), n AS (SELECT yr, market, key, count(*) AS n FROM x GROUP BY 1, 2, 3),
-p AS (SELECT a.yr, a.market, a.key AS ka, b.key AS kb, count(*) AS both FROM x a JOIN x b USING (yr, market, d) WHERE a.r < b.r GROUP BY ALL)
-SELECT CAST(p.yr AS INTEGER) AS fold, p.market, ka AS key_a, kb AS key_b, both AS hours_both, round(both / (na.n + nb.n - both), 6) AS jaccard FROM p JOIN n na ON na.yr = p.yr AND na.market = p.market AND na.key = ka
-JOIN n nb ON nb.yr = p.yr AND nb.market = p.market AND nb.key = kb WHERE both >= 3""")
+p AS (SELECT a.yr, a.market, a.key AS ka, b.key AS kb, count(*) AS nab FROM x a JOIN x b USING (yr, market, d) WHERE a.r < b.r GROUP BY ALL)
+SELECT CAST(p.yr AS INTEGER) AS fold, p.market, ka AS key_a, kb AS key_b, nab AS hours_both, round(nab / (na.n + nb.n - nab), 6) AS jaccard FROM p JOIN n na ON na.yr = p.yr AND na.market = p.market AND na.key = ka
+JOIN n nb ON nb.yr = p.yr AND nb.market = p.market AND nb.key = kb WHERE nab >= 3""")
 def cobinding_graph(t: Tables):
     return rounded(cobinding(shadow(t).withColumn("fold", F.year("d")), catalogue(t), ["fold", "market"], ["d"], "key", K, 3))
 
@@ -162,10 +162,10 @@ def coefficients(t: Tables):
 
 
 @check("node_forecast", f"""WITH {NODE_SQL} SELECT f.fold, b.d AS delivery_date, ptid, b.zone, round(b.da * 0.6, 4) AS energy, round(a_loss + b_loss * b.da * 0.1, 4) AS loss, round(a_cong + b_cong * b.da * 0.3, 4) AS congestion,
-round(b.da * 0.6 + a_loss + b_loss * b.da * 0.1 + a_cong + b_cong * b.da * 0.3, 4) AS total FROM book b JOIN folds f ON b.d >= test_start AND b.d < test_end JOIN fx ON fx.fold = f.fold AND fx.zone = b.zone""".replace("b.da * 0.6,", "b.da * 0.61,").replace("b.da * 0.6 +", "b.da * 0.61 +"))
+round(b.da * 0.6 + a_loss + b_loss * b.da * 0.1 + a_cong + b_cong * b.da * 0.3, 4) AS total FROM book b JOIN folds f ON b.d >= test_start AND b.d < test_end JOIN fx ON fx.fold = f.fold AND fx.zone = b.zone""".replace("b.da * 0.6,", "b.da / 3.0::DOUBLE,").replace("b.da * 0.6 +", "b.da / 3.0::DOUBLE +"))
 def forecast_nodes(t: Tables):
     b = assign_test_fold(t.book().withColumn("delivery_date", F.col("d")), t.folds())
-    rows = F.array(*[F.struct(F.lit(c).alias("component"), (F.col("da") * k).alias("mean")) for c, k in (("energy", 0.61), ("loss", 0.1), ("congestion", 0.3))])
+    rows = F.array(*[F.struct(F.lit(c).alias("component"), (F.col("da") * k if k else F.col("da") / 3.0).alias("mean")) for c, k in (("energy", None), ("loss", 0.1), ("congestion", 0.3))])
     zf = b.select("fold", "delivery_date", F.col("d").cast("timestamp").alias("ts_utc"), "zone", F.lit("da").alias("market"), F.explode(rows).alias("_r")).select("fold", "delivery_date", "ts_utc", "zone", "market", "_r.*")
     return rounded(node_forecast(zf, _coefficients(t), "da", ["fold"]).drop("ts_utc", "market"), 4)
 
@@ -178,9 +178,9 @@ def panel_changes(t: Tables):
     return checksum_diff(column_checksums(a, ["o_orderkey"]), column_checksums(b, ["o_orderkey"]))
 
 
-@check("latest_run_states", """WITH s AS (SELECT o_custkey AS run, o_orderdate AS at, o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'failed' ELSE 'running' END AS status, 'model' || (o_custkey % 10) AS model FROM orders),
-l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY at DESC, (status <> 'running') DESC, k DESC) AS r FROM s) WHERE r = 1)
-SELECT model, run_id FROM (SELECT model, lpad(run::VARCHAR, 9, '0') AS run_id, row_number() OVER (PARTITION BY model ORDER BY at DESC, run DESC) AS q FROM l WHERE status = 'done') WHERE q = 1""")
+@check("latest_run_states", """WITH s AS (SELECT o_custkey AS run, o_orderdate AS tm, o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'failed' ELSE 'running' END AS status, 'model' || (o_custkey % 10) AS model FROM orders),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY tm DESC, (status <> 'running') DESC, k DESC) AS r FROM s) WHERE r = 1)
+SELECT model, run_id FROM (SELECT model, lpad(run::VARCHAR, 9, '0') AS run_id, row_number() OVER (PARTITION BY model ORDER BY tm DESC, run DESC) AS q FROM l WHERE status = 'done') WHERE q = 1""")
 def run_states(t: Tables):
     st = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "failed").otherwise("running")
     e = t.orders.select(F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("run_id"), F.concat(F.lit("model"), F.col("o_custkey") % 10).alias("model"), F.col("o_orderdate").alias("event_utc"), st.alias("status"), "o_orderkey")

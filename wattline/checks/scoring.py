@@ -196,11 +196,11 @@ def assemble_components(t: Tables):
 
 
 @check("distribution_mean_scale", f"""WITH {RESID_SQL} SELECT trial, market, d AS delivery_date, zone, round(list_sum(q[2:20]) / 19, 6) AS dmean, round((q[20] - q[2]) / 3.29, 6) AS sd,
-round((1 - 0.3) * list_sum(q[2:20]) / 19 + 0.3 * 90, 6) AS mixed FROM oos WHERE q IS NOT NULL AND q[1] IS NOT NULL""")
+round((1 - 1.0::DOUBLE / 3) * list_sum(q[2:20]) / 19 + 1.0::DOUBLE / 3 * 90, 6) AS mixed FROM oos WHERE q IS NOT NULL AND q[1] IS NOT NULL""")
 def distribution_mean_scale(t: Tables):
     c = calibrated(t).filter(Q.has_quantiles())
     return rounded(c.select("trial", "market", "delivery_date", "zone", Q.distribution_mean().alias("dmean"), Q.distribution_scale().alias("sd"),
-                            Q.mixture_mean(Q.distribution_mean(), F.lit(90.0), F.lit(0.3)).alias("mixed")))
+                            Q.mixture_mean(Q.distribution_mean(), F.lit(90.0), F.lit(1 / 3)).alias("mixed")))
 
 
 @check("common_row_scores", f"""WITH {RESID_SQL}, a AS (SELECT * FROM oos WHERE trial = 'm1' AND q IS NOT NULL AND q[1] IS NOT NULL), b AS (SELECT * FROM oos WHERE trial = 'm7' AND q IS NOT NULL AND q[1] IS NOT NULL AND isodow(d) < 6),
