@@ -1 +1,57 @@
-"""Check queries."""
+"""Forecasting models as distributed jobs on the event panel (rows only; their properties are tested on seeded worlds)."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from wattline.checks.base import Tables, check, rounded
+from wattline.checks.panels import ZONES, build
+from wattline.models.ensemble import average_members
+from wattline.models.lear import LearModel
+from wattline.models.naive import NaiveModel, ZeroCongestion
+from wattline.models.spike import excess_quantiles
+from wattline.plans.backtest import run_folds
+from wattline.plans.folds import Fold
+from wattline.session import cut_lineage
+
+FOLD = Fold("2024-11", date(2024, 10, 27), date(2024, 11, 20), date(2024, 11, 21), date(2024, 11, 25))
+
+
+@check("lear_forecast")
+def lear(t: Tables):
+    p = cut_lineage(build(t))
+    out = LearModel("lear", (21, None), "holdout", energy_zone=ZONES[0]).fit_predict(p, [FOLD])
+    return rounded(out.groupBy("market", "component", "zone").agg(F.count(F.lit(1)).alias("n"), F.count("mean").alias("forecasts"), F.avg("mean").alias("mean")), 3)
+
+
+@check("naive_backtest")
+def naive(t: Tables):
+    p = cut_lineage(build(t))
+    ref = NaiveModel("lago_naive").points(p).filter(F.col("delivery_date").between(F.lit(FOLD.test_start), F.lit(date(2024, 11, 24))))
+    out = run_folds(NaiveModel("persist_da_d1"), p, [FOLD], ref)
+    return rounded(out.groupBy("fold", "market", "component", "zone").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y") - F.col("mean"))).alias("mae"), F.avg(F.abs(F.col("y") - F.col("ref_mean"))).alias("ref_mae"),
+                                                                          F.avg(F.col("q95") - F.col("q05")).alias("width")), 4)
+
+
+@check("zero_congestion")
+def zero(t: Tables):
+    out = run_folds(ZeroCongestion(), build(t), [FOLD])
+    return rounded(out.groupBy("market", "zone").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("y")).alias("mae")), 4)
+
+
+@check("spike_conditional_quantiles", """WITH x AS (SELECT event_type, quantile_cont(value, 0.95) AS thr FROM events GROUP BY 1)
+SELECT event_type, round(thr, 6) AS thr, round(thr + 20 / 0.2 * (pow(1 - 0.5, -0.2) - 1), 6) AS q50, round(thr + 20 / 0.2 * (pow(1 - 0.99, -0.2) - 1), 6) AS q99, round(thr + least(20 / 0.8, 20 / 0.2 * (pow(1 - 0.99, -0.2) - 1)), 6) AS mean FROM x""")
+def spike_quantiles(t: Tables):
+    from wattline.operators.ordered import exact_quantiles
+
+    x = exact_quantiles(t.events, ["event_type"], "value", [0.95], names=["thr"]).withColumns({"xi": F.lit(0.2), "sigma": F.lit(20.0)})
+    return rounded(excess_quantiles(x).select("event_type", "thr", "q50", "q99", "mean"))
+
+
+@check("ensemble_average")
+def ensemble(t: Tables):
+    from wattline.checks.scoring import calibrated
+
+    return rounded(average_members(calibrated(t).filter("q01 IS NOT NULL")).select("delivery_date", "zone", "market", "mean", "q05", "q50", "q95"))

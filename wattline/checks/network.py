@@ -161,11 +161,11 @@ def coefficients(t: Tables):
     return rounded(_coefficients(t), 5)
 
 
-@check("node_forecast", f"""WITH {NODE_SQL} SELECT f.fold, b.d AS delivery_date, ptid, b.zone, round(b.da * 0.6, 4) AS energy, round(a_loss + b_loss * b.da * 0.1, 4) AS loss, round(a_cong + b_cong * b.da * 0.3, 4) AS congestion,
-round(b.da * 0.6 + a_loss + b_loss * b.da * 0.1 + a_cong + b_cong * b.da * 0.3, 4) AS total FROM book b JOIN folds f ON b.d >= test_start AND b.d < test_end JOIN fx ON fx.fold = f.fold AND fx.zone = b.zone""".replace("b.da * 0.6,", "b.da / 3.0::DOUBLE,").replace("b.da * 0.6 +", "b.da / 3.0::DOUBLE +"))
+@check("node_forecast", f"""WITH {NODE_SQL} SELECT f.fold, b.d AS delivery_date, ptid, b.zone, round(b.da * 0.6, 4) AS energy, round(a_loss + b_loss * b.da / 7.0::DOUBLE, 4) AS loss, round(a_cong + b_cong * b.da / 11.0::DOUBLE, 4) AS congestion,
+round(b.da * 0.6 + a_loss + b_loss * b.da / 7.0::DOUBLE + a_cong + b_cong * b.da / 11.0::DOUBLE, 4) AS total FROM book b JOIN folds f ON b.d >= test_start AND b.d < test_end JOIN fx ON fx.fold = f.fold AND fx.zone = b.zone""".replace("b.da * 0.6,", "b.da / 3.0::DOUBLE,").replace("b.da * 0.6 +", "b.da / 3.0::DOUBLE +"))
 def forecast_nodes(t: Tables):
     b = assign_test_fold(t.book().withColumn("delivery_date", F.col("d")), t.folds())
-    rows = F.array(*[F.struct(F.lit(c).alias("component"), (F.col("da") * k if k else F.col("da") / 3.0).alias("mean")) for c, k in (("energy", None), ("loss", 0.1), ("congestion", 0.3))])
+    rows = F.array(*[F.struct(F.lit(c).alias("component"), (F.col("da") / k).alias("mean")) for c, k in (("energy", 3.0), ("loss", 7.0), ("congestion", 11.0))])
     zf = b.select("fold", "delivery_date", F.col("d").cast("timestamp").alias("ts_utc"), "zone", F.lit("da").alias("market"), F.explode(rows).alias("_r")).select("fold", "delivery_date", "ts_utc", "zone", "market", "_r.*")
     return rounded(node_forecast(zf, _coefficients(t), "da", ["fold"]).drop("ts_utc", "market"), 4)
 

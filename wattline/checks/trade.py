@@ -122,8 +122,7 @@ def priced(t: Tables):
 
 @check("limits_and_clearing", f"WITH {PRICED_SQL} SELECT d AS delivery_date, zone, round(k, 6) AS limit_scale, round(x, 6) AS x, round(xe, 6) AS x_eff, round(xe * (side * (y_da - y_rt) - 0.5), 5) AS pnl FROM r")
 def limits(t: Tables):
-    p = rounded(priced(t).select("delivery_date", "zone", "limit_scale", "x", "x_eff", "pnl"))
-    return p.withColumn("pnl", F.round("pnl", 5))
+    return rounded(priced(t).select("delivery_date", "zone", "limit_scale", "x", "x_eff", F.round("pnl", 5).alias("pnl")))
 
 
 @check("shuffled_outcome_null")
@@ -236,27 +235,30 @@ def path_summary(t: Tables):
 
 # ------------------------------------------------------------------------------------------ monthly products
 
-MONTH_SQL = f"""{BOOK_SQL}, ac AS (SELECT CAST(date_trunc('month', d) AS DATE) AS month, zone, CASE WHEN isodow(d) < 6 THEN 'peak' ELSE 'offpeak' END AS period, floor(avg(da) * 10000 + 0.5) / 10000 AS total, floor(avg(rt - da) * 10000 + 0.5) / 10000 AS congestion FROM book WHERE d < DATE '2001-10-01' GROUP BY 1, 2, 3),
+MONTH_SQL = f"""{BOOK_SQL}, ac AS (SELECT CAST(date_trunc('month', d) AS DATE) AS month, zone, CASE WHEN isodow(d) < 6 THEN 'peak' ELSE 'offpeak' END AS period, floor(CAST(sum(CAST(da AS DECIMAL(18,4))) AS DOUBLE) / count(*) * 10000 + 0.5) / 10000 AS total, floor(CAST(sum(CAST(rt AS DECIMAL(18,4)) - CAST(da AS DECIMAL(18,4))) AS DOUBLE) / count(*) * 10000 + 0.5) / 10000 AS congestion FROM book WHERE d < DATE '2001-10-01' GROUP BY 1, 2, 3),
 v AS (SELECT m AS month, h, CAST(m - to_months(CAST(h - 1 AS INTEGER)) AS DATE) - 7 AS cutoff FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '2001-09-01', INTERVAL 1 MONTH)) AS DATE) AS m), (SELECT unnest(range(1, 7)) AS h)),
 kn AS (SELECT v.month, v.h, v.cutoff, a.month AS km, a.zone, a.period, a.total, a.congestion FROM v JOIN ac a ON CAST(a.month + INTERVAL 1 MONTH AS DATE) <= v.cutoff)"""
 
 
 def _monthly(t: Tables):
     b = t.book().filter("d < DATE '2001-10-01'")
-    up = lambda x: F.floor(x * 10000 + 0.5) / 10000                                        # noqa: E731
-    a = b.groupBy(F.trunc("d", "MM").alias("month"), "zone", F.when(F.weekday("d") < 5, "peak").otherwise("offpeak").alias("period")).agg(up(F.avg("da")).alias("total"), up(F.avg(F.col("rt") - F.col("da"))).alias("congestion"))
+    def up(c):
+        return F.floor(F.sum(c).cast("double") / F.count(F.lit(1)) * 10000 + 0.5) / 10000
+
+    da, rt = F.col("da").cast("decimal(18,4)"), F.col("rt").cast("decimal(18,4)")
+    a = b.groupBy(F.trunc("d", "MM").alias("month"), "zone", F.when(F.weekday("d") < 5, "peak").otherwise("offpeak").alias("period")).agg(up(da).alias("total"), up(rt - da).alias("congestion"))
     gas = b.groupBy(F.col("d").alias("trade_date")).agg(F.avg("rt").alias("hh"))
     return a, gas
 
 
 @check("monthly_points", f"""WITH {MONTH_SQL}, n AS (SELECT month, h, zone, period, avg(total) AS nt, avg(congestion) AS nc, max(total) FILTER (km = month - INTERVAL 12 MONTH) AS yt FROM kn WHERE month(km) = month(month) AND km < month GROUP BY 1, 2, 3, 4),
 l AS (SELECT month, h, max(km) AS lm FROM kn GROUP BY 1, 2), p AS (SELECT kn.month, kn.h, zone, period, total, congestion FROM kn JOIN l ON l.month = kn.month AND l.h = kn.h AND km = lm), u AS (SELECT DISTINCT zone, period FROM ac)
-SELECT v.month, CAST(v.h AS INTEGER) AS h, v.cutoff, u.zone, u.period, round(nt, 5) AS m5_norm_total, round(nc, 5) AS m5_norm_congestion, yt AS m5_lastyear_total, p.total AS m5_persist_total, p.congestion AS m5_persist_congestion
+SELECT v.month, CAST(v.h AS INTEGER) AS h, v.cutoff, u.zone, u.period, round(nt, 7) AS m5_norm_total, round(nc, 7) AS m5_norm_congestion, yt AS m5_lastyear_total, p.total AS m5_persist_total, p.congestion AS m5_persist_congestion
 FROM v CROSS JOIN u LEFT JOIN n ON n.month = v.month AND n.h = v.h AND n.zone = u.zone AND n.period = u.period LEFT JOIN p ON p.month = v.month AND p.h = v.h AND p.zone = u.zone AND p.period = u.period""")
 def monthly_points(t: Tables):
     a, gas = _monthly(t)
     pf = monthly.point_forecasts(a, gas, date(1998, 1, 1))
-    return pf.select("month", "h", "cutoff", "zone", "period", F.round("m5_norm_total", 5).alias("m5_norm_total"), F.round("m5_norm_congestion", 5).alias("m5_norm_congestion"), "m5_lastyear_total", "m5_persist_total", "m5_persist_congestion")
+    return pf.select("month", "h", "cutoff", "zone", "period", F.round("m5_norm_total", 7).alias("m5_norm_total"), F.round("m5_norm_congestion", 7).alias("m5_norm_congestion"), "m5_lastyear_total", "m5_persist_total", "m5_persist_congestion")
 
 
 @check("monthly_distributions")
