@@ -11,6 +11,7 @@ from wattline.checks.warehouse import PRICES_SQL, hourly_prices
 from wattline.functions.clock import local_date, local_midnight, to_local
 from wattline.operators.audit import column_checksums
 from wattline.plans import panel
+from wattline.session import cut_lineage
 
 ZONES = ["click", "error", "purchase", "signup", "view"]
 STATIONS = [("c1", "click"), ("e1", "error"), ("p1", "purchase"), ("s1", "signup"), ("v1", "view"), ("v2", "view")]
@@ -19,7 +20,7 @@ START = date(2024, 10, 27)
 
 def sources(t: Tables):
     """All panel inputs from hourly event means; forecasts are the hour's own value plus an error that grows with lead."""
-    hourly, _ = hourly_prices(t)
+    hourly = cut_lineage(hourly_prices(t)[0])       # a stored table in a warehouse
     h = t.shifted().groupBy(F.date_trunc("hour", "ts_utc").alias("ts_utc"), "zone").agg(F.avg("value").alias("v"), F.max("value").alias("m"))
     day = local_date(F.col("ts_utc"))
     with_total = h.unionByName(h.groupBy("ts_utc").agg(F.sum("v").alias("v"), F.max("m").alias("m")).withColumn("zone", F.lit("SYSTEM")))
@@ -76,7 +77,7 @@ def lag_features(t: Tables):
 @check("panel_forecast_features", f"""WITH {LAG_SQL}, h AS (SELECT date_trunc('hour', ts_utc) AS ts_utc, zone, avg(value) AS v FROM ev GROUP BY 1, 2), s AS (SELECT ts_utc, sum(v) AS v FROM h GROUP BY 1)
 SELECT i.ts_utc, i.zone, round(h.v * 10 + 2, 6) AS load_fcst_zone, round(s.v * 10 + 2, 6) AS load_fcst_system, round(h.v / 4, 6) AS hrrr_temp_zone, round(h.v * 10, 6) AS load_fix_zone FROM iss i LEFT JOIN h USING (ts_utc, zone) LEFT JOIN s USING (ts_utc) WHERE i.dd >= DATE '{START}'""")
 def forecast_features(t: Tables):
-    """A 05:00 issue on D-1 sees the D-2 load file and, with a two-hour latency, never the 06 UTC run after it."""
+    """A 05:00 issue on D-1 sees the load file of D-2, not the one of D-1, and the gridded run of 06 UTC two hours after its start."""
     p = build(t)
     known = p.select("ts_utc", "zone", "load_fcst_zone", "load_fcst_system", "load_fix_zone", "hrrr_temp_zone", "issue_utc")
     return rounded(known.drop("issue_utc"))

@@ -19,6 +19,7 @@ from wattline.functions.numeric import degree_hours, price_components
 from wattline.operators.asof import asof_few, asof_long
 from wattline.operators.intervals import listed_outages, window_stats
 from wattline.operators.reshape import calendar_lag
+from wattline.session import cut_lineage
 from wattline.settings import COMPONENTS, MARKET_TZ
 
 RT_DELAY_MIN = 75               # interval end plus 15 minutes, from the interval start
@@ -110,15 +111,21 @@ def zone_and_system_weather(wx: DataFrame, keys: list[str], stations: list[tuple
 
 
 def build(src: dict[str, DataFrame], start: date = S.BURN_IN_START, through: date | None = None, locations: list[str] = S.LOCATIONS,
-          stations: list[tuple[str, str]] = S.STATION_ZONES, system: str = S.SYSTEM_ZONE, tz: str = MARKET_TZ) -> DataFrame:
+          stations: list[tuple[str, str]] = S.STATION_ZONES, system: str = S.SYSTEM_ZONE, tz: str = MARKET_TZ, stage: bool = True) -> DataFrame:
     """The panel.  `src`: lbmp_zone_hourly, load_forecast, weather_fcst, weather_hrrr, load_fix_oos, rt_asp, da_asp,
-    da_sched_outages, gas_henry_hub."""
+    da_sched_outages, gas_henry_hub.
+
+    The base rows and the local-hour prices feed a dozen branches; with `stage` they are checkpointed once instead of
+    being recomputed per branch.
+    """
     n_internal = len({z for _, z in stations})
     hourly = src["lbmp_zone_hourly"].filter(F.col("zone").isin(locations))
     rows = hourly if through is None else hourly.unionByName(future_rows(hourly, through, locations, tz))
     base = base_rows(rows, start, tz)
     base = base.join(day_positions(base), ["zone", "delivery_date", "ts_utc"])
     px = local_hour_prices(hourly)
+    if stage:
+        base, px = cut_lineage(base), cut_lineage(px)
     daily = daily_prices(px)
     D = F.col("delivery_date")
     out = base.withColumns(calendar_columns(D))
