@@ -26,6 +26,7 @@ def main() -> None:
         t0 = time.perf_counter()
         queries[name](spark, root).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline queries, total wall time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": root.rstrip("/").rsplit("sf", 1)[-1]}))
 
