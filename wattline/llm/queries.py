@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattline.llm import simhash, substring, suffixes
+from wattline.llm import decontaminate, simhash, substring, suffixes
 from wattline.llm.base import QUERIES, SQL, query, table
 
 
@@ -13,6 +13,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
 
+@query("op2_benchmark_decontamination", decontaminate.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
