@@ -100,7 +100,7 @@ def strings_of(column: pa.Array) -> list[str]:
     return [(v or b"").decode("utf-8", "replace") if not isinstance(v, str) else v for v in column.to_pylist()]
 
 
-def text_input(docs: DataFrame, *more: str) -> DataFrame:
+def text_input(docs: DataFrame, *more: Column) -> DataFrame:
     """(doc_id never null, text as bytes, more...): only the columns that a task needs leave the JVM."""
     return docs.select(id_of("doc_id").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
 

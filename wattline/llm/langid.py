@@ -152,8 +152,8 @@ def _letters(text: bytes | None) -> bool:
     return text is not None and any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def predict(docs: DataFrame, names: list[str], net: ByteConvNet, *more: Column) -> DataFrame:
-    """(doc_id, held_out, more..., lang_pred, score) of the whole text of each row."""
+def predict(docs: DataFrame, names: list[str], net: ByteConvNet, *more: Column, with_text: bool = False) -> DataFrame:
+    """(doc_id, held_out, [text binary,] more..., lang_pred, score) of the whole text of each row."""
     model = docs.sparkSession.sparkContext.broadcast((names, net))             # its size is set by the constants above
 
     def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +177,11 @@ def predict(docs: DataFrame, names: list[str], net: ByteConvNet, *more: Column)
             best = p.argmax(1) if names else np.zeros(len(starts), np.int64)
             lang = [names[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
             score = np.where(known, p[np.arange(len(p)), best], 0.0) if names else np.zeros(len(starts))
-            yield pa.RecordBatch.from_arrays([c for name, c in zip(b.schema.names, b.columns, strict=True) if name != "text"] + [pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))],
-                                             [n for n in b.schema.names if n != "text"] + ["lang_pred", "score"])
+            kept = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if with_text or n != "text"]
+            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], [n for n, _ in kept] + ["lang_pred", "score"])
 
     rows = docs.select("doc_id", held_out(*HELD_OUT).alias("held_out"), F.col("text").cast("binary").alias("text"), *more)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if with_text or f.name != "text")
     return rows.mapInArrow(task, f"{schema}, lang_pred string, score double")
 
 
@@ -193,5 +193,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def known_language(docs: DataFrame) -> DataFrame:
     """docs without those whose language can't be told: null text or no letter in it."""
     names, net = fit(docs)
-    out = predict(docs, names, net, *[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)])
-    return out.where("lang_pred <> 'und'").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    others = [c for c in docs.columns if c != "text"]
+    out = predict(docs, names, net, *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)], with_text=True)
+    known = out.where("lang_pred <> 'und'")
+    return known.select(*[F.col("text").cast("string").alias(c) if c == "text" else F.col(f"_{others.index(c)}").alias(c) for c in docs.columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from wattline.llm import decontaminate, langid, packing, simhash, substring, suffixes
 from wattline.llm.base import QUERIES, SQL, query, table
 
@@ -38,9 +39,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def registered_queries():
     return dict(QUERIES)
 
 
 def registered_sql():
-    return dict(SQL)
+    return dict(SQL) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

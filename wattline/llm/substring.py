@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm import words
@@ -55,8 +55,8 @@ def word_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     return covered(texts, _plan(window), size // 6)
 
 
-def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept text): one row for each row of docs."""
+def remove_repeats(docs: DataFrame, window: int = 35, *more: Column) -> DataFrame:
+    """(doc_id, n_words, n_removed, text, more...): one row for each row of docs; text is its kept words joined by one space."""
     spans = (word_windows(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
              .select("doc_id", "spans.start", "spans.n"))
 
@@ -76,11 +76,24 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
                 keep = np.flatnonzero(np.cumsum(edge[:-1]) == 0) + at[i]
                 removed.append(int(n[i] - len(keep)))
                 kept.append(b" ".join([raw[a:z] for a, z in zip(first[keep].tolist(), end[keep].tolist(), strict=True)]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    joined = text_input(docs).join(spans, "doc_id", "left").select("doc_id", "text", "start", "n")
-    out = joined.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
-    return out.select(shown_id("doc_id").alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), *b.columns[4:]],
+                                             ["doc_id", "n_words", "n_removed", "kept", *b.schema.names[4:]])
+
+    texts = text_input(docs, *more)
+    extra = texts.columns[2:]
+    joined = texts.join(spans, "doc_id", "left").select("doc_id", "text", "start", "n", *extra)
+    schema = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in extra)
+    out = joined.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept binary" + schema)
+    return out.select(shown_id("doc_id").alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("text"), *extra)
+
+
+def strip(docs: DataFrame, window: int = 35) -> DataFrame:
+    """docs with the repeated windows taken out of text, and n_chars, if there, counted anew; documents that lose all words go."""
+    others = [c for c in docs.columns if c != "text"]
+    out = remove_repeats(docs, window, *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)], F.col("text").alias("_text")).where("n_removed = 0 OR n_removed < n_words")
+    text = F.when(F.col("n_removed") == 0, F.col("_text")).otherwise(F.col("text"))
+    size = F.when(F.col("n_removed") == 0, F.col(f"_{others.index('n_chars')}")).otherwise(F.char_length("text")) if "n_chars" in others else None
+    return out.select(*[text.alias(c) if c == "text" else size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_{others.index(c)}").alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, window: int = 35) -> DataFrame:
