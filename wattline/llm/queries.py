@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from wattline.llm import decontaminate, langid, neighbours, packing, quality, simhash, substring, suffixes, toxicity
+from wattline.llm import decontaminate, langid, neighbours, packing, quality, rotation, simhash, substring, suffixes, toxicity
 from wattline.llm.base import QUERIES, SQL, query, table
 
 
@@ -24,6 +24,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.digest(table(spark, sf_dir, "embeddings"))
 
 
+@query("op4_chat_perspectives", rotation.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation.digest(table(spark, sf_dir, "conversations"))
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
