@@ -58,6 +58,23 @@ def test_wide_forecast(spark, tmp_path):
     assert df.select("issue_date").distinct().first()[0] == date(2025, 11, 1)
 
 
+def test_every_file_by_its_own_header(spark, tmp_path):
+    a = write(tmp_path, "20250601pal.csv", ["Time Stamp,Time Zone,Name,PTID,Load", "06/01/2025 01:00:00,EDT,WEST,61752,100"])
+    b = write(tmp_path, "20250602pal.csv", ["\ufeffTime Stamp, Time Zone, Name, Load, PTID, Extra", '06/02/2025 01:00:00,EDT,"WE,ST",200,61757,9', "", "06/02/2025 02:00:00,EDT,N,,61758"])
+    got = {(r["zone"], r["ptid"], r["load_mw"]) for r in feeds.read_feed(spark, [a, b], "load").collect()}
+    assert got == {("WEST", 61752, 100.0), ("WE,ST", 61757, 200.0), ("N", 61758, None)}
+    c = write(tmp_path, "20250603pal.csv", ["Time Stamp,Time Zone,Name,PTID", "06/03/2025 01:00:00,EDT,WEST,61752"])
+    with pytest.raises(ValueError, match="Load"):
+        feeds.read_feed(spark, [a, c], "load")
+
+
+def test_wide_files_with_different_zones(spark, tmp_path):
+    a = write(tmp_path, "20251101isolf.csv", ["Time Stamp,Capitl,West", "11/02/2025 03:00,1,2"])
+    b = write(tmp_path, "20251102isolf.csv", ["Time Stamp,West,Millwd,Capitl", "11/03/2025 03:00,5,6,7"])
+    got = {(r["issue_date"].day, r["zone"], r["load_forecast_mw"]) for r in feeds.read_feed(spark, [a, b], "load_forecast").collect()}
+    assert got == {(1, "CAPITL", 1.0), (1, "WEST", 2.0), (2, "WEST", 5.0), (2, "MILLWD", 6.0), (2, "CAPITL", 7.0)}
+
+
 def test_snapshot_compaction(spark, tmp_path):
     line = "{},7,LINE A,06/01/2025 08:00,06/02/2025 17:00"
     rows = [line.format(f"06/01/2025 00:{m:02d}:00") for m in range(0, 30, 5)] + [line.format("06/01/2025 01:15:00"), line.format("06/01/2025 01:20:00")]

@@ -41,10 +41,12 @@ def build_session(app: str = "wattline", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.  A local folder is made only where none is configured (tests)."""
+    """The shared checkpoint folder of the session.  A local folder is made only for a local session without one (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(configured)
     return configured

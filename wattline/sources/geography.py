@@ -60,6 +60,36 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: list[str],
     return hits.groupBy(*point_id, area).agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1").drop("_n")
 
 
+def nearest_zone(points: DataFrame, nodes: DataFrame, cell: float = 1.0) -> DataFrame:
+    """(county, _nearest): zone of the nearest of all nodes to each point (county, cx, cy), ties to the first zone.
+
+    Nodes are filed in cells, on grids that double their width from round to round.  A round compares a point with the nodes of its own and the eight cells
+    around it; a node beyond those is at least one cell width away, so a best distance of no more than that is final.  Other points go
+    on to the next, coarser grid, until one round holds them all.  The few rounds grow with the logarithm of the extent.
+    """
+    sited = nodes.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("zone", "lon", "lat").distinct()
+    asked = points.where(F.col("cx").isNotNull() & F.col("cy").isNotNull()).select("county", "cx", "cy")
+    box = sited.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).unionByName(asked.agg(F.min("cx").alias("min(lon)"), F.max("cx").alias("max(lon)"), F.min("cy").alias("min(lat)"), F.max("cy").alias("max(lat)"))).collect()
+    corners = [v for r in box for v in r if v is not None]
+    extent = max(corners) - min(corners) if corners else 0.0
+    width, done = cell, None
+    while True:
+        at = lambda v, w=width: F.floor(v / F.lit(w)).cast("long")                 # noqa: E731
+        filed = sited.withColumns({"i": at(F.col("lon")), "k": at(F.col("lat"))})
+        around = asked.withColumn("di", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dk", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+        met = around.withColumns({"i": at(F.col("cx")) + F.col("di"), "k": at(F.col("cy")) + F.col("dk")}).join(filed, ["i", "k"])
+        dist = F.hypot(F.col("lon") - F.col("cx"), F.col("lat") - F.col("cy"))
+        best = met.groupBy("county", "cx", "cy").agg(F.min(F.struct(dist.alias("d"), F.col("zone"))).alias("b"))
+        last = width > extent
+        sure = best if last else best.where(F.col("b.d") <= width)
+        found = sure.select("county", F.col("b.zone").alias("_nearest"))
+        done = found if done is None else done.unionByName(found)
+        if last:
+            return done
+        asked = asked.join(found.select("county"), "county", "left_anti")
+        width *= 2
+
+
 def county_zones(counties: DataFrame, votes: DataFrame, nodes: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
     """County -> zone: an override, else the zone with most nodes inside it, else the zone of the nearest node.
 
@@ -69,15 +99,7 @@ def county_zones(counties: DataFrame, votes: DataFrame, nodes: DataFrame, overri
     counted = votes.groupBy("county", "zone").agg(F.count(F.lit(1)).alias("_n"))
     best = counted.groupBy("county").agg(F.min_by("zone", F.struct(-F.col("_n"), F.col("zone"))).alias("_voted"))
     lone = counties.join(best.select("county"), "county", "left_anti")
-    # search rings of grid cells around the county point, nearest node first
-    cell = lambda v: F.floor(v / F.lit(1.0)).cast("int")                          # noqa: E731
-    near = F.explode(F.flatten(F.transform(F.sequence(cell(F.col("cx")) - 3, cell(F.col("cx")) + 3), lambda i: F.transform(
-        F.sequence(cell(F.col("cy")) - 3, cell(F.col("cy")) + 3), lambda k: F.struct(i.alias("i"), k.alias("k"))))))
-    asked = lone.select("county", "cx", "cy", near.alias("_c")).select("county", "cx", "cy", "_c.i", "_c.k")
-    sited = nodes.select("zone", "lon", "lat", cell(F.col("lon")).alias("i"), cell(F.col("lat")).alias("k"))
-    dist = F.hypot(F.col("lon") - F.col("cx"), F.col("lat") - F.col("cy"))
-    closest = asked.join(sited, ["i", "k"]).groupBy("county").agg(
-        F.min_by("zone", F.struct(dist, F.col("zone"))).alias("_nearest"))
+    closest = nearest_zone(lone, nodes)
     out = counties.select("county").join(best, "county", "left").join(closest, "county", "left")
     forced = F.create_map(*[F.lit(v) for kv in (overrides or {"": ""}).items() for v in kv])[F.col("county")]
     return out.select("county", F.coalesce(forced, "_voted", "_nearest").alias("zone"))
