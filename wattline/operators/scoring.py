@@ -83,19 +83,23 @@ def log_loss(p: Column, hit: Column, floor: float = 1e-4) -> Column:
 
 
 def ks_uniform(df: DataFrame, by: list[str], u: str, bins: int = 4096) -> DataFrame:
-    """Kolmogorov-Smirnov distance of `u` from the uniform distribution.
+    """Kolmogorov-Smirnov distance of `u` from the uniform distribution, exact.
 
-    The sup over the empirical steps needs the sorted sample; values are first counted in `bins` cells, so only a fixed
-    number of rows per group is ordered.  The result is exact at cell edges (error at most 1 / bins).
+    Equal values are counted first.  Values are ranked inside one of `bins` cells, and the cells before it, a fixed number a group, give the rest
+    of the rank, so no task orders a whole group.
     """
     from pyspark.sql import Window
 
-    cell = F.least(F.floor(F.col(u) * bins), F.lit(bins - 1))
-    counts = df.filter(F.col(u).isNotNull()).groupBy(*by, cell.alias("_cell")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(u).alias("_lo"), F.max(u).alias("_hi"))
-    w = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    up = counts.withColumn("_cum", F.sum("_n").over(w)).withColumn("_tot", F.sum("_n").over(whole))
-    gap = F.greatest(F.abs(F.col("_cum") / F.col("_tot") - F.col("_hi")),
-                     F.abs((F.col("_cum") - F.col("_n")) / F.col("_tot") - F.col("_lo")))
+    values = df.filter(F.col(u).isNotNull()).groupBy(*by, F.col(u).alias("_u")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", F.least(F.greatest(F.floor(F.col("_u") * bins), F.lit(0)), F.lit(bins - 1)))
+    keys = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    cells = values.groupBy(*keys, F.col("_cell").alias("_own")).agg(F.sum("_n").alias("_in"))
+    group = [f"_by{i}" for i in range(len(by))]
+    whole = Window.partitionBy(*group)
+    cells = cells.withColumn("_before", F.sum("_in").over(whole.orderBy("_own")) - F.col("_in")).withColumn("_tot", F.sum("_in").over(whole))
+    same = F.col("_cell") == F.col("_own")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    w = Window.partitionBy(*by, "_cell").orderBy("_u").rowsBetween(Window.unboundedPreceding, 0)
+    up = values.join(cells, same).withColumn("_cum", F.col("_before") + F.sum("_n").over(w))
+    gap = F.greatest(F.abs(F.col("_cum") / F.col("_tot") - F.col("_u")), F.abs((F.col("_cum") - F.col("_n")) / F.col("_tot") - F.col("_u")))
     return up.groupBy(*by).agg(F.max(gap).alias("ks_stat"), F.max("_tot").alias("n"))

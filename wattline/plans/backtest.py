@@ -67,7 +67,7 @@ def run(registry: Registry, model: Model, panel: DataFrame, folds: list[Fold], r
         registry.save_scores(run_id, fold_scores(pred))
         registry.finish_run(run_id)
     except Exception as e:
-        registry.finish_run(run_id, "failed", f"{type(e).__name__}: {e}"[:2000])
+        registry.finish_run(run_id, "failed", f"{type(e).__name__}: {e}")
         raise
     return run_id
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.calendar import is_holiday, peak_period
@@ -44,19 +44,25 @@ def vintages(a: DataFrame, first: date, last: date | None = None) -> DataFrame:
 
 
 def gas_at(gas: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(cutoff, gas): mean of the last ten trade days at least a week before each cutoff.
+    """(cutoff, gas): mean of the last ten trade days at least a week before each cutoff, whatever their age.
 
-    A trade day is offered to the cutoffs of the following 60 days, so the join is on the day.
+    Each trade day carries the ten values up to and with it; a cutoff takes those of the last trade day it may know.  Both sides are calendar-sized.
     """
-    spread = cuts.select("cutoff").distinct().withColumn("trade_date", F.explode(F.sequence(F.date_sub("cutoff", GAS_LAG + 60), F.date_sub("cutoff", GAS_LAG))))
-    near = top_per_group(gas.join(spread, "trade_date"), ["cutoff"], [F.desc("trade_date")], GAS_DAYS, "_r")
-    return near.groupBy("cutoff").agg(F.avg("hh").alias("gas"))
+    w = Window.orderBy("trade_date").rowsBetween(1 - GAS_DAYS, 0)
+    days = gas.select("trade_date", F.avg("hh").over(w).alias("gas"))
+    asked = cuts.select("cutoff").distinct().withColumn("_until", F.date_sub("cutoff", GAS_LAG))
+    both = days.select(F.col("trade_date").alias("_d"), F.lit(None).cast("date").alias("cutoff"), F.struct("gas").alias("_g")).unionByName(
+        asked.select(F.col("_until").alias("_d"), F.col("cutoff").cast("date").alias("cutoff"), F.lit(None).cast("struct<gas:double>").alias("_g")))
+    last = Window.orderBy("_d", F.col("cutoff").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn("_g", F.last("_g", ignorenulls=True).over(last)).where(F.col("cutoff").isNotNull() & F.col("_g").isNotNull())
+    return known.select("cutoff", F.col("_g.gas").alias("gas"))
 
 
 def _known(a: DataFrame, cuts: DataFrame) -> DataFrame:
     """Actual months fully delivered before each cutoff: (cutoff, actual columns).  Months x cutoffs, both calendar sized."""
     ends = F.add_months("month", 1)
-    years = cuts.select("cutoff").distinct().withColumn("_y", F.explode(F.sequence(F.year("cutoff") - 40, F.year("cutoff"))))
+    first = a.agg(F.min(F.year(ends))).first()[0]
+    years = cuts.select("cutoff").distinct().withColumn("_y", F.explode(F.sequence(F.least(F.lit(first), F.year("cutoff")), F.year("cutoff"))))
     return a.withColumn("_y", F.year(ends)).join(years, "_y").filter(ends <= F.col("cutoff")).drop("_y")
 
 
