@@ -18,7 +18,7 @@ from wattline.session import tune
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 SHIFT_DAYS = 300                # moves the January events over the autumn clock change
-FOLD_START, FOLD_END, ORIGIN = date(1997, 1, 1), date(2001, 1, 1), date(1995, 1, 1)
+FOLD_START, FOLD_END, ORIGIN = date(1997, 1, 1), date(2001, 12, 1), date(1995, 1, 1)     # 1995-96 is burn-in; folds run to the last month of the data
 
 
 def check(name: str, sql: str | None = None):
@@ -105,21 +105,21 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 SHIFTED_SQL = f"""ev AS (SELECT ts + INTERVAL {SHIFT_DAYS} DAY AS ts_utc, event_type AS zone, value, user_id, event_id FROM events)"""
 LOCAL = "timezone('America/New_York', timezone('UTC', {0}))"
-BOOK_SQL = """book AS (
+BOOK_SQL = """book AS MATERIALIZED (
   SELECT CAST(l_shipdate AS DATE) AS d, o_orderpriority AS zone,
          floor(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 1000 * 10000 + 0.5) / 10000 AS da,
          floor(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE)
                / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / 1000 * 10000 + 0.5) / 10000 AS rt
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 LAGGED_SQL = BOOK_SQL + """,
-lagged AS (
+lagged AS MATERIALIZED (
   SELECT b.d, b.zone, b.da, b.rt, a1.da AS da_l1, a7.da AS da_l7, r2.rt AS rt_l2, a2.da AS da_l2
   FROM book b LEFT JOIN book a1 ON a1.zone = b.zone AND a1.d = b.d - 1
   LEFT JOIN book a7 ON a7.zone = b.zone AND a7.d = b.d - 7
   LEFT JOIN book r2 ON r2.zone = b.zone AND r2.d = b.d - 2
   LEFT JOIN book a2 ON a2.zone = b.zone AND a2.d = b.d - 2)"""
 PRED_SQL = LAGGED_SQL + """,
-pred AS (
+pred AS MATERIALIZED (
   SELECT d, zone, 'da' AS market, 'm1' AS trial, coalesce(da_l1, da_l7) AS mean, da AS y FROM lagged
   UNION ALL SELECT d, zone, 'da', 'm2', coalesce(rt_l2, da_l1, da_l7), da FROM lagged
   UNION ALL SELECT d, zone, 'da', 'm7', coalesce(da_l7, da_l1), da FROM lagged
@@ -129,4 +129,4 @@ pred AS (
 FOLDS_SQL = f"""folds AS (
   SELECT strftime(m, '%Y-%m') AS fold, DATE '{ORIGIN}' AS train_start, CAST(m - INTERVAL 7 DAY AS DATE) AS train_end,
          CAST(m AS DATE) AS test_start, CAST(m + INTERVAL 1 MONTH AS DATE) AS test_end
-  FROM (SELECT unnest(generate_series(TIMESTAMP '{FOLD_START}', TIMESTAMP '2000-12-01', INTERVAL 1 MONTH)) AS m))"""
+  FROM (SELECT unnest(generate_series(TIMESTAMP '{FOLD_START}', TIMESTAMP '{FOLD_END}' - INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS m))"""

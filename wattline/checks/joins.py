@@ -122,11 +122,11 @@ def outages_on_list(t: Tables):
     return listed_outages(r)
 
 
-@check("expected_out_hours", f"""WITH {OUT_SQL}, l AS (SELECT CAST(out_ts AS DATE) - 1 AS list_day, equipment, out_ts + INTERVAL 7 HOUR AS o, out_ts + INTERVAL 31 HOUR AS i FROM rec WHERE month(out_ts) IN (1, 2, 5, 6, 7)),
+@check("expected_out_hours", f"""WITH {OUT_SQL}, l AS (SELECT CAST(out_ts AS DATE) - 1 AS list_day, equipment, out_ts + INTERVAL 7 HOUR AS o, out_ts + INTERVAL 31 HOUR AS i FROM rec),
 h AS (SELECT list_day + 1 AS d, equipment, o, i, unnest(range(24)) AS hr FROM l), u AS (SELECT d, hr, equipment, o, i, timezone('UTC', timezone('America/New_York', CAST(d AS TIMESTAMP) + to_hours(hr))) AS h0 FROM h)
 SELECT DISTINCT d, CAST(hr AS INTEGER) AS hr, equipment FROM u WHERE o < h0 + INTERVAL 1 HOUR AND i > h0""")
 def expected_out_hours(t: Tables):
-    r = _records(t).filter(F.month("sched_out_utc").isin(1, 2, 5, 6, 7))
+    r = _records(t)
     r = r.select(F.date_sub(F.to_date("sched_out_utc"), 1).alias("list_day"), "equipment", (F.col("sched_out_utc") + F.expr("INTERVAL 7 HOUR")).alias("sched_out_utc"),
                  (F.col("sched_out_utc") + F.expr("INTERVAL 31 HOUR")).alias("sched_in_utc"))
     return expected_out(r)

@@ -70,11 +70,11 @@ def catalogue_drift(t: Tables):
     return rounded(key_drift(catalogue(t), ["market"], "fold", "key"))
 
 
-@check("constraint_windows", f"""WITH {SHADOW_SQL}, w AS (SELECT DISTINCT CAST(year(d) AS INTEGER) AS yr FROM sp WHERE year(d) BETWEEN 1996 AND 2000), x AS (SELECT w.yr AS fold, market, key, d, mu FROM sp JOIN w ON d BETWEEN make_date(w.yr, 1, 1) AND make_date(w.yr, 6, 30)),
+@check("constraint_windows", f"""WITH {SHADOW_SQL}, w AS (SELECT DISTINCT CAST(year(d) AS INTEGER) AS yr FROM sp), x AS (SELECT w.yr AS fold, market, key, d, mu FROM sp JOIN w ON d BETWEEN make_date(w.yr, 1, 1) AND make_date(w.yr, 6, 30)),
 c AS (SELECT fold, market, key, sum(mu) AS s, count(DISTINCT d) AS h, row_number() OVER (PARTITION BY fold, market ORDER BY sum(mu) DESC, key) AS r FROM x GROUP BY 1, 2, 3)
 SELECT fold, market, key, CAST(r AS INTEGER) AS rank, s AS sum_abs_shadow, round(h / ((make_date(fold, 6, 30) - make_date(fold, 1, 1) + 1) * 24), 6) AS bind_rate, make_date(fold, 1, 1) AS window_start, make_date(fold, 6, 30) AS window_end FROM c WHERE r <= {K}""")
 def constraint_windows(t: Tables):
-    y = t.orders.select(F.year("o_orderdate").alias("fold")).filter("fold BETWEEN 1996 AND 2000").distinct()
+    y = t.orders.select(F.year("o_orderdate").alias("fold")).distinct()
     w = y.select("fold", F.make_date("fold", F.lit(1), F.lit(1)).alias("window_start"), F.make_date("fold", F.lit(6), F.lit(30)).alias("window_end"))
     return rounded(constraint_catalogue(shadow(t), w, K))
 

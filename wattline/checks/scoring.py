@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattline.checks.base import FOLDS_SQL, LAGGED_SQL, PRED_SQL, Tables, check, parents, rounded
+from wattline.checks.base import FOLD_START, FOLDS_SQL, LAGGED_SQL, PRED_SQL, Tables, check, parents, rounded
 from wattline.functions import quantiles as Q
 from wattline.models.naive import RULES, lag_forecast
 from wattline.models.residuals import oos_quantiles, residual_tables
@@ -48,7 +48,8 @@ def naive_rules(t: Tables):
     return b.select("d", "zone", *[lag_forecast(r, "total").alias(r) for r in RULES])
 
 
-RESID_SQL = f"""{PRED_SQL}, {FOLDS_SQL}, err AS (SELECT f.fold, p.trial, p.market, p.zone, p.d, p.y - p.mean AS r FROM pred p JOIN folds f ON p.d < f.train_end AND p.d >= f.train_end - 365 WHERE p.mean IS NOT NULL AND p.trial <> 'm2' AND p.d >= DATE '1997-01-01'),
+# residuals are those of out-of-sample predictions, so they begin with the first fold
+RESID_SQL = f"""{PRED_SQL}, {FOLDS_SQL}, err AS (SELECT f.fold, p.trial, p.market, p.zone, p.d, p.y - p.mean AS r FROM pred p JOIN folds f ON p.d < f.train_end AND p.d >= f.train_end - 365 WHERE p.mean IS NOT NULL AND p.trial <> 'm2' AND p.d >= DATE '{FOLD_START}'),
 lastd AS (SELECT fold, trial, max(d) AS l FROM err GROUP BY 1, 2), rec AS (SELECT err.* FROM err JOIN lastd USING (fold, trial) WHERE d > l - 365),
 cell AS (SELECT fold, trial, market, zone, quantile_cont(r, {LEVELS_SQL}) AS q, count(*) AS n FROM rec GROUP BY 1, 2, 3, 4),
 oos AS (SELECT f.fold, p.d, p.zone, p.market, p.trial, p.mean, p.y, list_transform(c.q, lambda x: x + p.mean) AS q FROM pred p JOIN folds f ON p.d >= f.test_start AND p.d < f.test_end
@@ -62,7 +63,7 @@ def calibrated(t: Tables, trials: tuple = ("m1", "m7")):
 
 @check("residual_quantiles", f"WITH {RESID_SQL} SELECT fold, market, zone, n, {', '.join(f'round(q[{i + 1}], 6) AS {c}' for i, c in enumerate(QCOLS))} FROM cell WHERE trial = 'm1' AND n >= 60")
 def residual_quantiles(t: Tables):
-    p = parents(t, ("m1",))["m1"].filter("mean IS NOT NULL AND delivery_date >= DATE '1997-01-01'").withColumn("r", F.col("y") - F.col("mean"))
+    p = parents(t, ("m1",))["m1"].filter(F.col("mean").isNotNull() & (F.col("delivery_date") >= F.lit(FOLD_START))).withColumn("r", F.col("y") - F.col("mean"))
     h = spread_history(p, t.folds(), 365)
     cell, _ = residual_tables(h.join(h.groupBy("fold").agg(F.max("delivery_date").alias("l")), "fold").filter(F.col("delivery_date") > F.date_sub("l", 365)), ["fold"])
     n = h.groupBy("fold", "market", "zone").agg(F.count("r").alias("n"))
@@ -158,7 +159,7 @@ def clip_history(t: Tables):
     return rounded(out.select("fold", "delivery_date", "zone", "market", "mean"))
 
 
-ALIGN_SQL = f"""{PRED_SQL}, {FOLDS_SQL}, al AS (SELECT a.d, a.zone, a.market, a.y, a.mean AS m0, b.mean AS m1, c.mean AS m2 FROM pred a JOIN pred b USING (d, zone, market) JOIN pred c USING (d, zone, market) WHERE a.trial = 'm1' AND b.trial = 'm7' AND c.trial = 'm2')"""
+ALIGN_SQL = f"""{PRED_SQL}, {FOLDS_SQL}, al AS MATERIALIZED (SELECT a.d, a.zone, a.market, a.y, a.mean AS m0, b.mean AS m1, c.mean AS m2 FROM pred a JOIN pred b USING (d, zone, market) JOIN pred c USING (d, zone, market) WHERE a.trial = 'm1' AND b.trial = 'm7' AND c.trial = 'm2')"""
 
 
 @check("combine_equal", f"WITH {ALIGN_SQL} SELECT fold, d AS delivery_date, zone, market, round((m0 + m1 + m2) / 3, 6) AS mean FROM al JOIN folds ON d >= test_start AND d < test_end")

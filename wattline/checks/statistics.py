@@ -147,8 +147,8 @@ def trial_diagnostics(t: Tables):
     return rounded(per_trial(s, "m7", 10))
 
 
-@check("uniformity_distance", """WITH u AS (SELECT l_returnflag AS g, l_quantity / 51 AS u FROM lineitem), r AS (SELECT g, u, rank() OVER (PARTITION BY g ORDER BY u) AS lo, count(*) OVER (PARTITION BY g ORDER BY u) AS hi, count(*) OVER (PARTITION BY g) AS n FROM u)
+@check("uniformity_distance", """WITH u AS (SELECT l_returnflag AS g, l_extendedprice / 110000 AS u FROM lineitem), r AS (SELECT g, u, rank() OVER (PARTITION BY g ORDER BY u) AS lo, count(*) OVER (PARTITION BY g ORDER BY u) AS hi, count(*) OVER (PARTITION BY g) AS n FROM u)
 SELECT g, any_value(n) AS n, round(max(greatest(abs(hi / n - u), abs((lo - 1) / n - u))), 6) AS ks_stat FROM r GROUP BY 1""")
 def uniformity(t: Tables):
-    u = t.lineitem.select(F.col("l_returnflag").alias("g"), (F.col("l_quantity") / 51).alias("u"))
+    u = t.lineitem.select(F.col("l_returnflag").alias("g"), (F.col("l_extendedprice") / 110000).alias("u"))
     return rounded(ks_uniform(u, ["g"], "u"))

@@ -235,13 +235,13 @@ def path_summary(t: Tables):
 
 # ------------------------------------------------------------------------------------------ monthly products
 
-MONTH_SQL = f"""{BOOK_SQL}, ac AS (SELECT CAST(date_trunc('month', d) AS DATE) AS month, zone, CASE WHEN isodow(d) < 6 THEN 'peak' ELSE 'offpeak' END AS period, floor(CAST(sum(CAST(da AS DECIMAL(18,4))) AS DOUBLE) / count(*) * 10000 + 0.5) / 10000 AS total, floor(CAST(sum(CAST(rt AS DECIMAL(18,4)) - CAST(da AS DECIMAL(18,4))) AS DOUBLE) / count(*) * 10000 + 0.5) / 10000 AS congestion FROM book WHERE d < DATE '2001-10-01' GROUP BY 1, 2, 3),
-v AS (SELECT m AS month, h, CAST(m - to_months(CAST(h - 1 AS INTEGER)) AS DATE) - 7 AS cutoff FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '2001-09-01', INTERVAL 1 MONTH)) AS DATE) AS m), (SELECT unnest(range(1, 7)) AS h)),
+MONTH_SQL = f"""{BOOK_SQL}, ac AS (SELECT CAST(date_trunc('month', d) AS DATE) AS month, zone, CASE WHEN isodow(d) < 6 THEN 'peak' ELSE 'offpeak' END AS period, floor(CAST(sum(CAST(da AS DECIMAL(18,4))) AS DOUBLE) / count(*) * 10000 + 0.5) / 10000 AS total, floor(CAST(sum(CAST(rt AS DECIMAL(18,4)) - CAST(da AS DECIMAL(18,4))) AS DOUBLE) / count(*) * 10000 + 0.5) / 10000 AS congestion FROM book GROUP BY 1, 2, 3),
+v AS (SELECT m AS month, h, CAST(m - to_months(CAST(h - 1 AS INTEGER)) AS DATE) - 7 AS cutoff FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1998-01-01', (SELECT date_trunc('month', max(d)) FROM book), INTERVAL 1 MONTH)) AS DATE) AS m), (SELECT unnest(range(1, 7)) AS h)),
 kn AS (SELECT v.month, v.h, v.cutoff, a.month AS km, a.zone, a.period, a.total, a.congestion FROM v JOIN ac a ON CAST(a.month + INTERVAL 1 MONTH AS DATE) <= v.cutoff)"""
 
 
 def _monthly(t: Tables):
-    b = t.book().filter("d < DATE '2001-10-01'")
+    b = t.book()
     def up(c):
         return F.floor(F.sum(c).cast("double") / F.count(F.lit(1)) * 10000 + 0.5) / 10000
 
