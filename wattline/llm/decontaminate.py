@@ -4,11 +4,11 @@ A-Z are lower-cased; words are runs of digits, letters a-z and characters beyond
 item; an item of fewer words, but not none, is one window.  A document word inside any occurrence of a window is hit.
 
 Winnowing: of each window, the least hash of its `GRAM`-word grams is its fingerprint, so equal windows have equal fingerprints and every shared
-span of a window's length is found; a document keeps each fingerprint once.
-1. Documents' fingerprints are joined with the benchmark's: which documents may be hit.
-2. Hits are extended: windows of these documents with a shared fingerprint are joined with the benchmark's windows word by word (equality
-   of the text, not of a hash), and the words of all occurrences are united.
-Both joins are left to Spark, which broadcasts the benchmark's side only below spark.sql.autoBroadcastJoinThreshold and shuffles beyond.
+span of a window's length is found.
+1. Documents' fingerprints are joined with the benchmark's, which are broadcast while there are at most `BROADCAST_ROWS` (they do not grow with
+   the documents); beyond that both sides are shuffled.
+2. Hits are extended: windows with a shared fingerprint are joined with the benchmark's windows word by word (equality of the text, not of a
+   hash), and the words of all occurrences are united.
 
 Null or empty texts have no words: never hit, and such items have no windows.  Repeated rows of one doc_id count as one document; rows with
 a null doc_id count as one document with a null id.  An item with a null item_id hits words but is not listed.  Items of one wording are
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from wattline.llm.base import staged
 
 WINDOW, GRAM = 10, 5
+BROADCAST_ROWS = 500_000             # windows of the benchmark up to which its fingerprints (8 bytes each) are broadcast
+_MARK = -(1 << 63)
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,7 +70,41 @@ def _windows(df: DataFrame, lengths: list[int]) -> DataFrame:
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _one_pass(docs: DataFrame, prints: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, n_words, length, start, window): a row without a window for each row of docs, and a row for each window with a shared fingerprint.
+
+    The fingerprints of the benchmark are broadcast; a document's windows meet them where they are made, and only matches are spelt out."""
+    out = None
+    for k, n in enumerate(lengths):
+        raw = docs.select("doc_id", _words("text").alias("raw"))
+        mark = F.array(F.lit(_MARK)) if k == 0 else F.array().cast("array<bigint>")        # comes last and stands for the document itself
+        hashed = F.transform("raw", lambda w: F.xxhash64(_small(w)))
+        rows = raw.select("doc_id", "raw", F.posexplode(F.concat(_prints(hashed, n), mark)).alias("start", "fp"))
+        own = prints.where(F.col("length") == n).select("fp").unionByName(docs.sparkSession.createDataFrame([(_MARK,)], "fp bigint")).distinct()
+        rows = rows.join(F.broadcast(own), "fp")
+        last = F.col("start") > F.size("raw") - n
+        window = F.when(~last, F.concat_ws(" ", F.transform(F.slice("raw", F.col("start") + 1, n), _small)))
+        rows = rows.select("doc_id", F.when(last, F.size("raw")).alias("n_words"), F.lit(n).alias("length"), "start", window.alias("window"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _two_passes(docs: DataFrame, prints: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same for a benchmark too large to broadcast: a document's different fingerprints are shuffled, then the texts of documents that share one."""
+    hashed = docs.select("doc_id", F.transform(_words("text"), lambda w: F.xxhash64(_small(w))).alias("h"))
+    found = None
+    for n in lengths:
+        f = hashed.select("doc_id", F.size("h").alias("n_words"), F.explode_outer(F.array_distinct(_prints(F.col("h"), n))).alias("fp"))
+        f = f.join(prints.where(F.col("length") == n).select("fp", F.lit(1).alias("shared")), "fp", "left").groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("shared").alias("shared"))
+        found = f if found is None else found.unionByName(f)
+    found = staged(found)
+    maybe = found.where("shared = 1").select(F.col("doc_id").alias("_id")).distinct()
+    texts = docs.join(maybe, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("doc_id", F.transform(_words("text"), _small).alias("words"))
+    near = _windows(texts, lengths).join(prints, ["length", "fp"], "left_semi").select("doc_id", F.lit(None).cast("int").alias("n_words"), "length", "start", "window")
+    return found.select("doc_id", "n_words", F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("string").alias("window")).unionByName(near)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, n_words, n_hit, items array of item ids as strings, sorted): one row for each doc_id."""
     spark = docs.sparkSession
     items = (benchmark.select("item_id", F.transform(_words("text"), _small).alias("words")).where(F.size("words") > 0)
@@ -85,22 +121,17 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         windows = spark.createDataFrame([], "wording bigint, ids array<string>, length int, fp bigint, window string")
     prints = windows.select("length", "fp").distinct()
 
-    hashed = docs.select("doc_id", F.transform(_words("text"), lambda w: F.xxhash64(_small(w))).alias("h"))
-    found = None
-    for n in lengths or [WINDOW]:
-        f = hashed.select("doc_id", F.size("h").alias("n_words"), F.explode_outer(F.array_distinct(_prints(F.col("h"), n))).alias("fp"))
-        f = f.join(prints.where(F.col("length") == n).select("fp", F.lit(1).alias("shared")), "fp", "left").groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("shared").alias("shared"))
-        found = f if found is None else found.unionByName(f)
-    if len(lengths) > 1:
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("shared").alias("shared"))
-    found = staged(found)
     if not lengths:
-        return found.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-
-    maybe = found.where("shared = 1").select(F.col("doc_id").alias("_id"))
-    texts = docs.join(maybe, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("doc_id", F.transform(_words("text"), _small).alias("words"))
-    near = _windows(texts, lengths).join(prints, ["length", "fp"], "left_semi")
-    places = staged(near.join(windows.select("length", "window").distinct(), ["length", "window"]).select("doc_id", "start", "length", "window").distinct())
+        found = docs.groupBy("doc_id").agg(F.max(F.size(_words("text"))).alias("n_words"))
+        return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    if windows.count() <= broadcast_rows:
+        near = _one_pass(docs, prints, lengths)
+    else:
+        near = _two_passes(docs, prints, lengths)
+    near = staged(near)
+    found = near.where("window IS NULL").groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
+    places = near.where("window IS NOT NULL").join(windows.select("length", "window").distinct(), ["length", "window"]).select("doc_id", "start", "length", "window").distinct()
+    places = staged(places)
 
     # unite the occurrences: what each adds beyond the ends before it
     edges = places.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("at"))
