@@ -46,10 +46,30 @@ def series(spark, n=60, seed=0):
     return spark.createDataFrame(rows, "t timestamp_ntz, e string, v double").select(F.col("t").cast("timestamp").alias("ts_utc"), "e", "v")
 
 
-def test_deduplicated_file_drop(spark, tmp_path):
-    df = series(spark, 20)
-    out = drain(twins.deduplicated(stream_of(spark, df.union(df), tmp_path, "ts_utc"), ["ts_utc", "e"]))
-    assert out.count() == df.count()
+def test_last_copy_wins_over_batches(spark, tmp_path):
+    """A corrected copy in a later batch, an outdated one after it, and a day that arrives in two batches."""
+    rows = [("a", date(2024, 1, 1), 1, 1.0), ("b", date(2024, 1, 1), 1, 2.0), ("a", date(2024, 1, 1), 3, 9.0), ("c", date(2024, 1, 2), 1, 5.0), ("a", date(2024, 1, 1), 2, 7.0), ("d", date(2024, 1, 1), 1, 4.0)]
+    df = spark.createDataFrame(rows, "k string, day date, version int, v double")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(0, 6, 2):
+        spark.createDataFrame(rows[i:i + 2], df.schema).coalesce(1).write.mode("append").parquet(src)
+    for _ in range(2):                                        # the second run starts from its own checkpoint and replays everything
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = twins.latest_copies(stream, out, ["k", "day"], ["version"], "day", str(tmp_path / f"cp{uuid.uuid4().hex[:6]}")).start()
+        q.processAllAvailable()
+        q.stop()
+        assert {(r["k"], r["v"]) for r in spark.read.parquet(out).collect()} == {("a", 9.0), ("b", 2.0), ("c", 5.0), ("d", 4.0)}
+
+
+def test_late_rows_are_counted_and_the_state_stays(spark, tmp_path):
+    stamps = [(5, 1.0), (10, 2.0), (7, 50.0), (15, 3.0)]
+    df = spark.createDataFrame([(T0 + timedelta(minutes=m), "a", v) for m, v in stamps], "ts_utc timestamp, e string, v double")
+    src = str(tmp_path / "in")
+    for lo, hi in ((0, 2), (2, 3), (3, 4)):
+        spark.createDataFrame(df.collect()[lo:hi], df.schema).coalesce(1).write.mode("append").parquet(src)
+    parts = drain(twins.time_weighted_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src), "e", "v", nominal=0))
+    got = {r["ts_utc"].minute: (r["value"], r["covered_s"], r["late_rows"]) for r in twins.finish_partials(parts).collect()}
+    assert got[5][:2] == (2.0, 300.0) and got[10][:2] == (3.0, 300.0) and sum(v[2] for v in got.values()) == 1
 
 
 def test_sessions_match_compaction(spark, tmp_path):
@@ -77,15 +97,3 @@ def test_conformal_matches_batch(spark, tmp_path):
     want = [s.step(d, m, y) for k, d, m, y in rows if k == "s1"]
     want = np.array([np.full(21, np.nan) if w is None else w for w in want])
     assert np.allclose(got[QCOLS].to_numpy(float), want, equal_nan=True)
-
-
-def test_daily_upsert_sink(spark, tmp_path):
-    df = spark.createDataFrame([("s", date(2024, 1, 1), 1.0), ("s", date(2024, 1, 2), 2.0), ("s", date(2024, 1, 1), 9.0)], "signal string, delivery_date date, v double")
-    out = str(tmp_path / "out")
-    for i, rows in enumerate((df.limit(2), df.filter("v = 9"))):
-        src = str(tmp_path / f"in{i}")
-        rows.write.parquet(src)
-        q = twins.upsert_days(spark.readStream.schema(df.schema).parquet(src), out, ["signal", "delivery_date"], str(tmp_path / f"cp{i}")).start()
-        q.processAllAvailable()
-        q.stop()
-    assert sorted(r["v"] for r in spark.read.parquet(out).collect()) == [2.0, 9.0]

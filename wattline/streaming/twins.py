@@ -10,14 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from wattline.operators.ordered import keep_last
 from wattline.operators.timeweight import split_over_buckets
 from wattline.plans.postprocess import ConformalState
+from wattline.session import cut_lineage
 from wattline.settings import MAX_GAP_MINUTES, NOMINAL_MINUTES, QCOLS
 
 
-def deduplicated(stream: DataFrame, keys: list[str], ts: str = "ts_utc", lateness: str = "2 days") -> DataFrame:
-    """File-drop ingestion: late copies of a key are dropped while the watermark still remembers it."""
-    return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
+def latest_copies(stream: DataFrame, path: str, keys: list[str], order: list[str], day: str, checkpoint: str):
+    """File-drop ingestion: a table with the last copy of each key by `order`, as the batch rule has it, whatever batch a copy comes in.
+
+    A micro-batch is merged with the stored rows of the days it touches and those partitions are rewritten, so a corrected or late copy and a day that
+    arrives in parts are all right, and replaying a batch changes nothing.  The merged rows are checkpointed before the old ones are replaced.
+    """
+    def write(batch: DataFrame, _epoch: int) -> None:
+        rows, spark = batch, batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            stored = spark.read.schema(batch.schema).parquet(path)
+            rows = stored.join(batch.select(day).distinct(), day, "left_semi").select(batch.columns).unionByName(batch)
+        merged = cut_lineage(keep_last(rows, keys, order))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def snapshot_sessions(stream: DataFrame, keys: list[str], ts: str = "ts_utc", gap: str = "15 minutes", lateness: str = "1 hour") -> DataFrame:
@@ -36,35 +51,41 @@ class _PreviousStamp(StatefulProcessor):
         self.last = handle.getValueState("last", "micros long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("stamp")
-        stamp = pdf["stamp"].to_numpy(np.int64)
+        pdf = pd.concat(list(rows)).sort_values("stamp", kind="stable")
         known = self.last.get()[0] if self.last.exists() else None
+        if known is not None and (late := pdf["stamp"] <= known).any():          # their interval has been given out already
+            yield pd.DataFrame({"entity": key[0], "value": 0.0, "start_us": pdf["stamp"][late] - 1_000_000, "end_us": pdf["stamp"][late], "late": 1})
+            pdf = pdf[~late]
+        if pdf.empty:
+            return
+        stamp = pdf["stamp"].to_numpy(np.int64)
         prev = np.concatenate([[known if known is not None else np.iinfo(np.int64).min // 2], stamp[:-1]])
         start = np.where(stamp - prev > self.max_gap * 1_000_000, stamp - self.nominal * 1_000_000, prev)
         self.last.update((int(stamp[-1]),))
-        yield pd.DataFrame({"entity": key[0], "value": pdf["value"].to_numpy(float), "start_us": start, "end_us": stamp})
+        yield pd.DataFrame({"entity": key[0], "value": pdf["value"].to_numpy(float), "start_us": start, "end_us": stamp, "late": 0})
 
     def close(self) -> None:
         pass
 
 
-def time_weighted_stream(stream: DataFrame, entity: str, value: str, bucket: int = 300, ts: str = "ts_utc", lateness: str = "10 minutes",
+def time_weighted_stream(stream: DataFrame, entity: str, value: str, bucket: int = 300, ts: str = "ts_utc",
                          nominal: int = NOMINAL_MINUTES * 60, max_gap: int = MAX_GAP_MINUTES * 60) -> DataFrame:
-    """Time-weighted buckets of an end-stamped stream whose rows arrive in order per entity.
+    """Time-weighted buckets of an end-stamped stream whose rows arrive in order per entity from batch to batch; in a batch any order will do.
 
-    The state is one stamp per entity.  Output is one partial sum per (bucket, entity) and batch (update mode adds up);
+    The state is one stamp per entity and never moves back.  A row that comes behind it is late: it has no weight and is counted in `late` of its bucket,
+    so a bucket with late rows can be computed anew from the stored series.  Output is one partial sum per (bucket, entity) and batch (update mode adds up);
     `finish_partials` turns accumulated partials into averages.
     """
     rows = stream.select(F.col(entity).alias("entity"), (F.unix_micros(ts) + F.lit(nominal * 1_000_000)).alias("stamp"), F.col(value).cast("double").alias("value"))
     out = rows.groupBy("entity").transformWithStateInPandas(
-        _PreviousStamp(nominal, max_gap), "entity string, value double, start_us long, end_us long", outputMode="Append", timeMode="None")
-    spans = out.select("entity", "value", F.timestamp_micros("start_us").alias("start_ts"), F.timestamp_micros("end_us").alias("end_ts"))
+        _PreviousStamp(nominal, max_gap), "entity string, value double, start_us long, end_us long, late int", outputMode="Append", timeMode="None")
+    spans = out.select("entity", "value", "late", F.timestamp_micros("start_us").alias("start_ts"), F.timestamp_micros("end_us").alias("end_ts"))
     pieces = split_over_buckets(spans, bucket)
-    return pieces.select("bucket_ts", "entity", (F.col("value") * F.col("w")).alias("vw"), "w")
+    return pieces.select("bucket_ts", "entity", F.when(F.col("late") == 0, F.col("value") * F.col("w")).otherwise(0.0).alias("vw"), F.when(F.col("late") == 0, F.col("w")).otherwise(F.lit(0).cast("double")).alias("w"), "late")
 
 
 def finish_partials(partials: DataFrame) -> DataFrame:
-    return partials.groupBy(F.col("bucket_ts").alias("ts_utc"), "entity").agg((F.sum("vw") / F.sum("w")).alias("value"), F.sum("w").alias("covered_s"))
+    return partials.groupBy(F.col("bucket_ts").alias("ts_utc"), "entity").agg(F.try_divide(F.sum("vw"), F.sum("w")).alias("value"), F.sum("w").alias("covered_s"), F.sum("late").alias("late_rows"))
 
 
 class _Conformal(StatefulProcessor):
@@ -112,9 +133,6 @@ def conformal_stream(stream: DataFrame, **options) -> DataFrame:
     return stream.groupBy("series").transformWithStateInPandas(_Conformal(**options), schema, outputMode="Append", timeMode="None")
 
 
-def upsert_days(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Sink that replaces the day partitions present in each micro-batch; replaying a batch writes the same partitions."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def upsert_days(stream: DataFrame, path: str, keys: list[str], order: list[str], day: str, checkpoint: str):
+    """Sink of daily outputs: `latest_copies` under the name that the live chain uses; rows of a day may come in several batches."""
+    return latest_copies(stream, path, keys, order, day, checkpoint)
