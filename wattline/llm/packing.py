@@ -49,7 +49,7 @@ class ChunkEncoder:
 
         parts = (json.loads(tokenizer.to_str()).get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         split = parts[0]
-        return split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed" and "[^\\s\\p{L}\\p{N}]" in str(split.get("pattern"))
+        return split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed" and "[^\\s\\p{L}\\p{N}]" in split.get("pattern", {}).get("Regex", "")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
