@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattline.session import cut_lineage
+
 # fixed values: published column -> curated column
 GENERATOR_COLUMNS = {"Generator PTID": "ptid", "Generator Name": "name", "Zone": "zone", "Subzone": "subzone",
                      "Latitude": "lat", "Longitude": "lon", "Active": "active", "Aggregation PTID": "aggregation_ptid"}
@@ -82,11 +84,11 @@ def nearest_zone(points: DataFrame, nodes: DataFrame, cell: float = 1.0) -> Data
         best = met.groupBy("county", "cx", "cy").agg(F.min(F.struct(dist.alias("d"), F.col("zone"))).alias("b"))
         last = width > extent
         sure = best if last else best.where(F.col("b.d") <= width)
-        found = sure.select("county", F.col("b.zone").alias("_nearest"))
+        found = cut_lineage(sure.select("county", F.col("b.zone").alias("_nearest")))
         done = found if done is None else done.unionByName(found)
-        if last:
+        asked = cut_lineage(asked.join(found.select("county"), "county", "left_anti"))
+        if last or asked.isEmpty():
             return done
-        asked = asked.join(found.select("county"), "county", "left_anti")
         width *= 2
 
 
