@@ -65,11 +65,11 @@ class Tables:
 
     def lagged_book(self) -> DataFrame:
         """Book with da of 1, 2 and 7 days and rt of 2 days earlier, by calendar date."""
-        b = self.book()
-        out = b
-        for k, c in ((1, "da"), (7, "da"), (2, "rt"), (2, "da")):
-            out = out.join(b.select(F.date_add("d", k).alias("d"), "zone", F.col(c).alias(f"{c}_l{k}")), ["d", "zone"], "left")
-        return out
+        lags = ((1, "da"), (7, "da"), (2, "rt"), (2, "da"))
+        laid = self.book().withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 2, 7))))).withColumn("d", F.expr("date_add(d, k)"))
+        at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))                       # noqa: E731
+        one = laid.groupBy("d", "zone").agg(F.min("k").alias("k"), at(0, "da").alias("da"), at(0, "rt").alias("rt"), *[at(k, c).alias(f"{c}_l{k}") for k, c in lags])
+        return one.where("k = 0").drop("k")
 
     def predictions(self) -> DataFrame:
         """Long prediction rows of two naive members (trial m1: a day earlier, m7: a week earlier, m2: two days) for da and rt."""
