@@ -14,7 +14,9 @@ empty table gives an empty result.  Texts of any length are handled one at a tim
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,49 +27,71 @@ from pyspark.sql import functions as F
 from wattline.llm.base import staged, strings_of
 
 CAPACITY, END_ID = 4096, 1
-_REMEMBER = 300_000                  # chunks of text whose ids a worker remembers
+_REMEMBER = 250_000                  # chunks of text whose ids a worker remembers, twice
+_APART, _BEYOND_LATIN = re.compile("[\x1c-\x1f]"), re.compile("[^\x00-\u02ff]")
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+# printable bytes stand for themselves, the others for the characters from U+0100 on, in order
+_OTHERS = [c for c in range(256) if not (33 <= c < 127 or 161 <= c < 173 or 174 <= c)]
+_BYTE_NAMES = {c: 256 + i for i, c in enumerate(_OTHERS)}
 
 
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, exactly as the tokenizer gives them for the whole text.
 
-    The vocabulary of the default file never joins across white space, so ids are put together from the ids of the chunks between white
-    space, which are remembered.  Texts with the separators U+001C to U+001F, which Python and the tokenizer tell apart, are encoded whole, and
-    so is everything when the file is not of that kind."""
+    The vocabulary of the default file never joins across white space, so ids are put together from the ids of the chunks between white space, which
+    are remembered.  A chunk of Latin letters and closing ASCII marks falls into those two parts, and the letters go straight to the vocabulary's
+    merges.  Texts with the separators U+001C to U+001F, which Python and the tokenizer tell apart, are encoded whole, and so is everything when
+    the file is not of that kind."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}                # chunks met lately, and those met before them
+        self.old: dict[str, bytes] = {}
         self.by_chunk = self._splits_at_space(self.tokenizer)
 
     @staticmethod
     def _splits_at_space(tokenizer) -> bool:
+        """Is it the kind of file whose steps this class knows: NFC, white space, lower case; letters apart from marks; bytes; merges by word?"""
         import json
 
-        parts = (json.loads(tokenizer.to_str()).get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        split = parts[0]
-        return split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed" and "[^\\s\\p{L}\\p{N}]" in split.get("pattern", {}).get("Regex", "")
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        t = json.loads(tokenizer.to_str())
+        steps = (t.get("normalizer") or {}).get("normalizers") or []
+        parts = (t.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        return ([n.get("type") for n in steps] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+                and parts[0].get("invert") is True and parts[0].get("behavior") == "Removed" and parts[0].get("pattern", {}).get("Regex", "").endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+                and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex"))
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _new(self, chunk: str, latin: bool) -> bytes:
+        word = chunk.rstrip(_MARKS)
+        if not latin or not word.isalpha():
+            return self._whole(chunk)
+        if len(word) == len(chunk):
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_NAMES))]).tobytes()
+        return self._get(word, latin) + self._get(chunk[len(word):], False)
+
+    def _get(self, chunk: str, latin: bool) -> bytes:
+        got = self.known.get(chunk) or self.old.get(chunk)
+        if got is None:
+            got = self._new(chunk, latin)
+        self.known[chunk] = got
+        return got
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_chunk or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._encode([text])[0]
-        chunks = (text.lower() if text.isascii() and "<|" not in text else text).split()
-        known = self.known
-        missing = [c for c in dict.fromkeys(chunks) if c not in known]
-        if missing:
-            if len(known) + len(missing) > _REMEMBER:
-                known.clear()
-                missing = list(dict.fromkeys(chunks))
-            for i in range(0, len(missing), 4096):
-                part = missing[i:i + 4096]
-                known.update(zip(part, self._encode(part), strict=True))
-        return b"".join(map(known.__getitem__, chunks))
+        if not self.by_chunk or _APART.search(text):
+            return self._whole(text)
+        latin = "<|" not in text and not _BEYOND_LATIN.search(text)
+        chunks = (text.lower() if latin else text).split()
+        if len(self.known) > _REMEMBER:
+            self.old, self.known = self.known, {}
+        for chunk in set(chunks).difference(self.known):
+            self._get(chunk, latin)
+        return b"".join(map(self.known.__getitem__, chunks))
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
