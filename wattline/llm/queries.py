@@ -9,7 +9,7 @@ from wattline.llm import decontaminate, langid, neighbours, packing, quality, ro
 from wattline.llm.base import QUERIES, SQL, query, table
 
 
-@query("op1_suffix_dedup")
+@query("op1_suffix_dedup", suffixes.SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
@@ -54,7 +54,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op10_substring_dedup")
+@query("op10_substring_dedup", substring.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 

@@ -221,3 +221,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns of `remove_repeats`."""
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same question for DuckDB: all byte strings of a window's length, as hexadecimal text, ranked by place.
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (
+    SELECT doc_id, unnest(range(1, len(h) // 2 - 98)) AS i, unnest(list_transform(range(1, len(h) // 2 - 98), lambda i: md5(substring(h, 2 * i - 1, 200)))) AS g
+    FROM d WHERE len(h) >= 200),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM s),
+e AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM f WHERE k > 1),
+c AS (SELECT doc_id, i, CASE WHEN step IS NULL OR step > 100 THEN 1 ELSE 0 END AS fresh, sum(CASE WHEN step IS NULL OR step > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+z AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM c GROUP BY doc_id, run),
+p AS (
+    SELECT doc_id, string_agg(substring(h, 2 * lo - 1, 2 * (a - lo)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) - 1) AS kept, sum(b - a) AS n_removed, count(*) AS n_spans
+    FROM (SELECT z.doc_id, h, a, b, coalesce(lag(b) OVER (PARTITION BY z.doc_id ORDER BY a), 1) AS lo FROM z JOIN d ON d.doc_id = z.doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN p USING (doc_id)
+"""
