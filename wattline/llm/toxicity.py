@@ -90,7 +90,7 @@ def class_counts(docs: DataFrame, known: DataFrame) -> np.ndarray:
         if now is not None:
             yield pa.RecordBatch.from_pydict({"block": pa.array([now]), "n": pa.array([total.tobytes()], pa.binary())})
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(known, "doc_id").select("text", "y")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(known.hint("merge"), "doc_id").select("text", "y")         # labels grow with the documents: shuffled at every size
     parts = rows.mapInArrow(count, "block bigint, n binary")
     out = np.zeros(2 * size, np.int64)
     for r in parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block bigint, n binary").collect():         # 2 ** BITS cells, whatever the input
