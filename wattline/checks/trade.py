@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from wattline.checks.base import BOOK_SQL, LAGGED_SQL, LOCAL, Tables, check, rounded
+from wattline.checks.base import BOOK_SQL, FOLDS_SQL, LAGGED_SQL, LOCAL, Tables, check, rounded
 from wattline.checks.scoring import calibrated
 from wattline.operators.reshape import wide_with_quantiles
 from wattline.plans import monthly, paths, pricing, trading
@@ -78,6 +78,12 @@ def residual_correlation(t: Tables):
     return rounded(trading.fold_rho(r, f).drop("fold"))
 
 
+@check("residual_correlation_folds", f"""WITH {LAGGED_SQL}, {FOLDS_SQL} SELECT fold, zone, round(corr(da - da_l1, rt - rt_l2), 6) AS rho FROM lagged JOIN folds ON d < train_end AND d >= train_end - 365 WHERE da_l1 IS NOT NULL AND rt_l2 IS NOT NULL GROUP BY 1, 2""")
+def residual_correlation_folds(t: Tables):
+    r = signal(t).select("delivery_date", "zone", (F.col("y_da") - F.col("mean_da")).alias("r_da"), (F.col("y_rt") - F.col("mean_rt")).alias("r_rt"))
+    return rounded(trading.fold_rho(r, t.folds()))
+
+
 @check("correlated_positions", f"""WITH {LAGGED_SQL}, w AS (SELECT d, zone, da_l1 - rt_l2 AS s, sqrt(greatest(5.0 ** 2 + 7.0 ** 2 - 2 * 0.3 * 5.0 * 7.0, 1e-6)) AS sc FROM lagged WHERE da_l1 IS NOT NULL AND rt_l2 IS NOT NULL)
 SELECT d AS delivery_date, zone, round(s, 4) AS spread_fcst, round(sc, 6) AS spread_scale, round(CASE WHEN abs(s) > 0.5 THEN greatest(-1, least(1, s / sc)) ELSE 0 END, 5) AS x_mw FROM w""")
 def correlated_positions(t: Tables):
@@ -127,26 +133,50 @@ def limits(t: Tables):
 
 @check("shuffled_outcome_null")
 def outcome_null(t: Tables):
-    return rounded(pricing.null_table(priced(t), 20), 4)
+    return rounded(pricing.null_table(priced(t)), 4)
 
 
 def _wide(t: Tables):
-    return wide_with_quantiles(calibrated(t, ("m1",)).filter("delivery_date >= DATE '2000-01-01'"), KEYS)
+    return wide_with_quantiles(calibrated(t, ("m1",)), KEYS)
+
+
+def _hours(t: Tables):
+    """The book as one zone whose hours are the order priorities: a year then holds the history that a copula asks for."""
+    hour = F.substring("zone", 1, 1).cast("int")
+    return _wide(t).withColumns({"hour_local": hour, "ts_utc": F.col("ts_utc") + F.make_dt_interval(hours=hour), "zone": F.lit("ALL")})
 
 
 @check("bid_curve_backtest")
 def bid_curve(t: Tables):
     """Draw-based pricing; no SQL form.  The map runs without a shuffle of draws."""
-    p = pricing.backtest(_wide(t), t.folds(), k=60)
+    p = pricing.backtest(_wide(t), t.folds())
     return rounded(p.select("delivery_date", "zone", "side", "bid_price", "p_clear", "x", "pnl"), 4)
 
 
+@check("bid_curve_backtest_copula")
+def bid_curve_copula(t: Tables):
+    p = pricing.backtest(_hours(t), t.folds())
+    return rounded(p.select("delivery_date", "hour_local", "rho", "side", "bid_price", "p_clear", "x", "pnl"), 4)
+
+
 @check("joint_scenarios")
 def joint_scenarios(t: Tables):
-    s = pricing.spread_forecast(_wide(t), t.folds(), "indep", k=60)
+    s = pricing.spread_forecast(_wide(t), t.folds(), "indep")
     return rounded(s.select("delivery_date", "zone", "y", "mean", "q05", "q50", "q95", "pit"), 4)
 
 
+@check("joint_scenarios_gauss")
+def joint_scenarios_gauss(t: Tables):
+    s = pricing.spread_forecast(_hours(t), t.folds())
+    return rounded(s.select("delivery_date", "hour_local", "rho", "y", "mean", "q05", "q50", "q95", "pit"), 4)
+
+
+@check("joint_scenarios_emp")
+def joint_scenarios_emp(t: Tables):
+    s = pricing.spread_forecast(_hours(t), t.folds(), "emp")
+    return rounded(s.select("delivery_date", "hour_local", "y", "mean", "q05", "q50", "q95", "pit"), 4)
+
+
 @check("tail_splice")
 def tail_splice(t: Tables):
     c = calibrated(t, ("m1",)).filter("market = 'rt'").drop("trial")
@@ -230,7 +260,7 @@ def path_universe(t: Tables):
 
 @check("path_summary")
 def path_summary(t: Tables):
-    return rounded(paths.summarise(observations(t), "f", ("c",), draws=100), 4)
+    return rounded(paths.summarise(observations(t), "f"), 4)
 
 
 # ------------------------------------------------------------------------------------------ monthly products
