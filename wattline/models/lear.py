@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.quantiles import mean_present
-from wattline.operators.kernels import lasso_paths
+from wattline.operators.kernels import lasso_breakpoints, lasso_paths
 from wattline.operators.reshape import day_grids
 from wattline.plans.folds import Fold, assign_test_fold, spread_history
 from wattline.session import cut_lineage
@@ -94,16 +94,17 @@ def _grid(xy: np.ndarray, n: int, floor: float = 1e-3) -> np.ndarray:
     return top[None, :] * np.logspace(0, np.log10(floor), n)[:, None]
 
 
-def _aic_fit(a: np.ndarray, z: np.ndarray, points: int = 30) -> np.ndarray:
-    """Coefficients (p, h) of the penalty with the smallest Akaike criterion per target."""
+def _aic_fit(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Coefficients (p, h) at the breakpoint of the lasso path with the smallest Akaike criterion per target."""
     n, p = a.shape
     g, xy = a.T @ a, a.T @ z
-    path = lasso_paths(g, xy, _grid(xy, points))
-    rss = np.stack([((z - a @ b) ** 2).sum(axis=0) for b in path])
-    df = (path != 0).sum(axis=1)
-    noise = rss[-1] / max(n - p, n // 4, 1)
-    best = (rss / np.maximum(noise, 1e-12) + 2 * df).argmin(axis=0)
-    return np.stack([path[k, :, h] for h, k in enumerate(best)], axis=1)
+    out = np.empty(xy.shape)
+    for h in range(z.shape[1]):
+        lams, path = lasso_breakpoints(g, xy[:, h], 1e-3 * float(np.abs(xy[:, h]).max(initial=0.0)))
+        rss = ((z[:, h, None] - a @ path.T) ** 2).sum(axis=0)
+        noise = rss[-1] / max(n - p, n // 4, 1)
+        out[:, h] = path[(rss / max(noise, 1e-12) + 2 * (path != 0).sum(axis=1)).argmin()]
+    return out
 
 
 def _holdout_penalty(a: np.ndarray, z: np.ndarray, points: int = 20, share: float = 0.2) -> np.ndarray:

@@ -110,32 +110,84 @@ def gpd_fit(excess: np.ndarray) -> tuple[float, float]:
     return xi, float(xi / theta)
 
 
-def lasso_paths(gram: np.ndarray, xy: np.ndarray, penalties: np.ndarray, sweeps: int = 25, tol: float = 1e-3) -> np.ndarray:
-    """Lasso coefficients (L, p, h) for h targets that share one Gram matrix, along L decreasing penalties each.
+PATH_STEPS, SAME = 100_000, 1e-9         # breakpoints of a path at most; below this share of its square a column depends on others
 
-    Minimises 0.5 b'Gb - b'xy + penalty |b|_1 per target by coordinate descent.  One coordinate is updated for all targets
-    at once, and each penalty starts from the previous solution.
+
+def lasso_breakpoints(gram: np.ndarray, xy: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Penalties (K,), decreasing to `floor`, and coefficients (K, p) at the breakpoints of the lasso path of one target: exact and linear in between.
+
+    Minimises 0.5 b'Gb - b'xy + penalty |b|_1 by homotopy.  A column that depends on those in the model takes the place of one of them
+    where that shortens the coefficients, and stays out otherwise.  Raises ArithmeticError after PATH_STEPS breakpoints.
     """
-    p, h = xy.shape
-    beta, grad = np.zeros((p, h)), xy.copy()
-    diag = np.maximum(np.diag(gram), 1e-12)
-    out = np.empty((len(penalties), p, h))
-    scale = tol * np.maximum(np.abs(xy).max(axis=0), 1e-12)
-    for n, lam in enumerate(penalties):
-        for _ in range(sweeps):
-            moved = np.zeros(h)
-            live = np.flatnonzero((np.abs(grad) > lam).any(axis=1) | (beta != 0).any(axis=1))
-            for j in live:
-                rho = grad[j] + diag[j] * beta[j]
-                new = np.sign(rho) * np.maximum(np.abs(rho) - lam, 0.0) / diag[j]
-                step = new - beta[j]
-                if step.any():
-                    grad -= gram[:, j:j + 1] * step
-                    beta[j] = new
-                    np.maximum(moved, np.abs(step) * diag[j], out=moved)
-            if (moved <= scale).all():
-                break
-        out[n] = beta
+    p = len(xy)
+    beta, c = np.zeros(p), xy.astype(float).copy()
+    top = lam = float(np.abs(c).max(initial=0.0))
+    lams, betas = [lam], [beta.copy()]
+    if lam <= max(floor, 0.0) or lam == 0.0:
+        return np.array(lams), np.array(betas)
+    model, signs, out, left = [], [], set(), -1
+    enter = int(np.abs(c).argmax())
+    for _ in range(PATH_STEPS):
+        if enter >= 0:
+            sign, v = float(np.sign(c[enter])), np.linalg.solve(gram[np.ix_(model, model)], gram[model, enter]) if model else np.zeros(0)
+            if gram[enter, enter] - gram[enter, model] @ v > SAME * gram[enter, enter]:
+                model.append(enter)
+                signs.append(sign)
+            elif sign * (v @ np.array(signs)) > 1 + SAME:
+                down = np.flatnonzero(sign * v * signs > SAME)
+                room = np.abs(beta[model])[down] / np.abs(v[down])
+                theta, i = room.min(), int(down[room.argmin()])
+                beta[model] -= theta * sign * v
+                beta[enter] = theta * sign
+                beta[model[i]], left = 0.0, model[i]
+                model[i], signs[i] = enter, sign
+            else:
+                out.add(enter)
+        d = np.linalg.solve(gram[np.ix_(model, model)], np.array(signs)) if model else np.zeros(0)
+        slope = gram[:, model] @ d
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up, low = (lam - c) / (1 - slope), (lam + c) / (1 + slope)
+            drop = -beta[model] / d
+        for t, side in ((up, 1), (low, -1)):
+            t[~(1 - side * slope > 1e-12)] = np.inf
+            t[[*model, *out]] = np.inf
+            if left >= 0 and abs(side * c[left] - lam) <= 1e-9 * top:
+                t[left] = np.inf
+        join = np.maximum(np.minimum(up, low), 0.0)
+        drop[~(drop > 0)] = np.inf
+        j, i = int(join.argmin()), int(drop.argmin()) if model else -1
+        step = min(join[j], drop[i] if model else np.inf, lam - floor)
+        beta[model] += step * d
+        lam -= step
+        c = xy - gram @ beta
+        lams.append(lam)
+        betas.append(beta.copy())
+        if lam <= floor + 1e-12 * top:
+            return np.array(lams), np.array(betas)
+        enter, left = -1, -1
+        if model and drop[i] <= join[j]:
+            left = model.pop(i)
+            signs.pop(i)
+            beta[left] = 0.0
+            betas[-1][left] = 0.0
+            out.clear()
+        else:
+            enter = j
+    raise ArithmeticError(f"lasso path with more than {PATH_STEPS} breakpoints")
+
+
+def lasso_paths(gram: np.ndarray, xy: np.ndarray, penalties: np.ndarray) -> np.ndarray:
+    """Lasso coefficients (L, p, h) for h targets that share one Gram matrix, at L penalties each, exact by the breakpoints of their paths."""
+    out = np.empty((len(penalties), *xy.shape))
+    for h in range(xy.shape[1]):
+        lams, betas = lasso_breakpoints(gram, xy[:, h], float(penalties[:, h].min()))
+        for n, lam in enumerate(penalties[:, h]):
+            k = int(np.searchsorted(-lams, -lam))            # first breakpoint with a penalty of at most lam
+            if k == 0 or k == len(lams):
+                out[n, :, h] = betas[min(k, len(lams) - 1)]
+            else:
+                w = (lams[k - 1] - lam) / (lams[k - 1] - lams[k])
+                out[n, :, h] = (1 - w) * betas[k - 1] + w * betas[k]
     return out
 
 
