@@ -5,7 +5,7 @@ import inspect
 
 from pyspark.sql import functions as F
 
-from wattline.checks import registered_queries, trade
+from wattline.checks import registered_queries, statistics, trade
 from wattline.plans import paths, pricing
 
 ROOT = "/root/testdata/sf0.001"
@@ -38,3 +38,10 @@ def test_trade_queries_use_the_operators_defaults(spark, monkeypatch):
 def test_scenario_queries_reach_the_first_folds(spark):
     t = trade.Tables(spark, ROOT)
     assert trade._wide(t).agg(F.min("delivery_date")).first()[0].year < 2000
+
+
+def test_bootstrap_queries_use_the_operators_defaults(spark, monkeypatch):
+    draws, sims = heard(monkeypatch, statistics, "cluster_bootstrap", "draws"), heard(monkeypatch, statistics, "power_curve", "sims")
+    for name in ("cluster_bootstrap", "forward_power_curve"):
+        registered_queries()[name](spark, ROOT)
+    assert draws == [4000] and sims == [2000]

@@ -125,7 +125,7 @@ def cluster_slope(t: Tables):
 def cluster_boot(t: Tables):
     """Hash draws: no SQL form.  Properties are tested."""
     x = t.lineitem.select("l_returnflag", "l_suppkey", F.when(F.col("l_discount") > 0.05, F.col("l_extendedprice") / 1000 - 36).alias("pnl"))
-    return rounded(cluster_bootstrap(x, ["l_returnflag"], "l_suppkey", "pnl", 500))
+    return rounded(cluster_bootstrap(x, ["l_returnflag"], "l_suppkey", "pnl"))
 
 
 @check("permutation_within_groups")
@@ -138,7 +138,7 @@ def permutations(t: Tables):
 
 @check("forward_power_curve")
 def forward_power(t: Tables):
-    return rounded(power_curve(skill(t).filter("trial = 'm1'"), "day", "value", [60, 250], sims=100))
+    return rounded(power_curve(skill(t).filter("trial = 'm1'"), "day", "value", [60, 250]))
 
 
 @check("trial_diagnostics")
