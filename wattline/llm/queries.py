@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from wattline.llm import decontaminate, langid, neighbours, packing, quality, rotation, simhash, substring, suffixes, toxicity
+from wattline.llm import decontaminate, langid, neighbours, packing, quality, rotation, simhash, substring, suffixes, toxicity, trie
 from wattline.llm.base import QUERIES, SQL, query, table
 
 
@@ -59,6 +59,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
+@query("op13_conversation_trie", trie.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digest(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
