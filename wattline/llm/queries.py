@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from wattline.llm import decontaminate, langid, neighbours, packing, quality, rotation, simhash, spelling, substring, suffixes, toxicity, trie
+from wattline.llm import decontaminate, extraction, langid, neighbours, packing, quality, rotation, simhash, spelling, substring, suffixes, toxicity, trie
 from wattline.llm.base import QUERIES, SQL, query, table
 
 
@@ -64,6 +64,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.digest(table(spark, sf_dir, "documents"))
 
 
+@query("op12_main_text", extraction.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op13_conversation_trie", trie.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.digest(table(spark, sf_dir, "conversations"))
