@@ -60,3 +60,16 @@ def test_perspectives(spark):
     cols = ["conv_id", "speaker", "chunk", "n_messages", "text", "mask"]
     assert sorted(map(tuple, rotation.digest(df).select(cols).collect())) == sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({rotation.SQL})").fetchall())
     assert rotation.digest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_decontamination_of_null_and_repeated_ids(spark, most, monkeypatch):
+    monkeypatch.setattr(decontaminate.hits, "__defaults__", (most,))
+    rows = [(None, ITEM), (None, "clean one"), (None, None), (1, ITEM), (1, "clean two"), (2, "clean three"), (2, "clean three")]
+    d = tuned(spark).createDataFrame([(*r, "x", 5) for r in rows], "doc_id bigint, text string, _gone string, gone_id int")
+    b = tuned(spark).createDataFrame([(7, ITEM)], "item_id bigint, text string")
+    kept = decontaminate.clean(d, b)
+    assert kept.columns == d.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, (r for r in rows if r[1] != ITEM)))
+    out = decontaminate.digest(d, b).collect()
+    assert len(out) == 6 and sorted(str(r.doc_id) for r in out if r.contaminated) == ["1", "None"]

@@ -98,3 +98,13 @@ def test_embeddings_against_all_pairs(spark, monkeypatch):
     assert {i: got[i] for i in ids} == {i: (int(near[k].sum()), want[i], want[i] == i) for k, i in enumerate(ids)}
     assert all(got[r[0]] == (0, r[0], True) for r in odd)
     assert neighbours.digest(df.limit(0)).count() == 0
+
+
+def test_keep_first_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 200)) for _ in range(3))
+    rows = [(None, a), (None, a), (None, a), (5, a), (1, b), (1, c), (2, b), (7, c), (7, c), (None, None), (8, "")]
+    docs = tuned(spark).createDataFrame([(*r, i, "g") for i, r in enumerate(rows)], "doc_id bigint, text string, gone_row int, _gone string").repartition(3)
+    out = simhash.keep_first(docs)
+    assert out.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text), r.gone_row) for r in out.collect()) == sorted([("None", a, 0), ("1", b, 4), ("1", c, 5), ("None", "None", 9)])

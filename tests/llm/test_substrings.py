@@ -104,3 +104,24 @@ def test_suffix_order_is_the_sorted_one():
     assert rows == sorted(rows) and sorted(zip(who.tolist(), place.tolist(), strict=True)) == [(i, k) for i, s in enumerate(seqs) for k in range(len(s))]
     for a, b, n in zip(rows, rows[1:], lcp[1:], strict=False):
         assert n == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows are told apart by id and text: several null ids, one id with two texts, whole rows repeated."""
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))                        # noqa: E731
+    shared, clean = text(60), text(60)
+    rows = [(None, f"{shared} {text(5)}"), (None, clean), (None, f"{shared} {text(7)}"), (None, clean), (1, f"{text(3)} {shared}"), (1, text(70)), (2, text(50)), (2, text(50)), (2, None), (None, None)]
+    docs = tuned(spark).createDataFrame([(*r, 3, "r") for r in rows], "doc_id bigint, text string, row int, gone_id string").repartition(4)
+    n = {t: len(re.findall(r"\S+", t or "")) for _, t in rows}
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring.digest(docs).collect())
+    assert got == sorted((str(i), n[t], 60 if shared in (t or "") else 0) for i, t in rows)
+    # bytes: of the documents with the passage all but the first lose it; null ids come first, in the order of their texts' hashes
+    out = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffixes.digest(docs).collect()]
+    size, cut = {t: len((t or "").encode()) for _, t in rows}, len(shared.encode())
+    assert sorted((str(i), b) for i, b, _ in out) == sorted((str(i), size[t]) for i, t in rows)
+    lost = [(i, m) for i, _, m in out if m]
+    assert len(lost) == 2 and all(m >= cut for _, m in lost) and sum(i == 1 for i, _ in lost) == 1
+    kept = substring.strip(docs).collect()
+    assert sorted(str(r.text) for r in kept if r.text and shared not in r.text and len(r.text.split()) > 9) == sorted(t for _, t in rows if t and shared not in t)
+    assert all(r.row == 3 and r.gone_id == "r" for r in kept) and len(kept) == len(rows)

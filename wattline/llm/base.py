@@ -100,9 +100,29 @@ def strings_of(column: pa.Array) -> list[str]:
     return [(v or b"").decode("utf-8", "replace") if not isinstance(v, str) else v for v in column.to_pylist()]
 
 
+def row_key() -> Column:
+    """Tells rows of one doc_id apart, null included: a hash of the whole text.  Only rows with equal doc_id and equal text are one document."""
+    return F.xxhash64(F.col("text").cast("binary"))
+
+
 def text_input(docs: DataFrame, *more: Column) -> DataFrame:
-    """(doc_id never null, text as bytes, more...): only the columns that a task needs leave the JVM."""
-    return docs.select(id_of("doc_id").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
+    """(doc_id never null, row as `row_key`, text as bytes, more...): only the columns that a task needs leave the JVM."""
+    return docs.select(id_of("doc_id").alias("doc_id"), row_key().alias("row"), F.col("text").cast("binary").alias("text"), *more)
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def without(docs: DataFrame, gone: DataFrame, kind: str = "left_anti") -> DataFrame:
+    """docs without (or, left_semi, with only) the rows of the documents (doc_id, row) in `gone`; doc_id may be NO_ID there."""
+    a, b = free_name(docs, "gone_id"), free_name(docs, "gone_row")
+    listed = gone.select(F.col("doc_id").alias(a), F.col("row").alias(b))
+    return docs.join(listed, (id_of("doc_id") == F.col(a)) & (row_key() == F.col(b)), kind)
 
 
 def batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

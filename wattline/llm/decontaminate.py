@@ -10,8 +10,8 @@ span of a window's length is found.
 2. Hits are extended: windows with a shared fingerprint are joined with the benchmark's windows word by word (equality of the text, not of a
    hash), and the words of all occurrences are united.
 
-Null or empty texts have no words: never hit, and such items have no windows.  Repeated rows of one doc_id count as one document; rows with
-a null doc_id count as one document with a null id.  An item with a null item_id hits words but is not listed.  Items of one wording are
+Null or empty texts have no words: never hit, and such items have no windows.  Rows with equal doc_id and equal text count as one document; rows
+with one doc_id, or none, and different texts are different documents.  An item with a null item_id hits words but is not listed.  Items of one wording are
 matched once.  Extra columns are not looked at.  An empty benchmark hits nothing; empty documents give an empty result.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.base import staged
+from wattline.llm.base import id_of, row_key, shown_id, staged, without
 
 WINDOW, GRAM = 10, 5
 BROADCAST_ROWS = 500_000             # windows of the benchmark up to which its fingerprints (8 bytes each) are broadcast
@@ -71,42 +71,43 @@ def _windows(df: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def _one_pass(docs: DataFrame, prints: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, n_words, length, start, window): a row without a window for each row of docs, and a row for each window with a shared fingerprint.
+    """(doc_id, row, n_words, length, start, window): a row without a window for each row of docs, and a row for each window with a shared fingerprint.
 
     The fingerprints of the benchmark are broadcast; a document's windows meet them where they are made, and only matches are spelt out."""
     out = None
     for k, n in enumerate(lengths):
-        raw = docs.select("doc_id", _words("text").alias("raw"))
+        raw = docs.select("doc_id", "row", _words("text").alias("raw"))
         mark = F.array(F.lit(_MARK)) if k == 0 else F.array().cast("array<bigint>")        # comes last and stands for the document itself
         hashed = F.transform("raw", lambda w: F.xxhash64(_small(w)))
-        rows = raw.select("doc_id", "raw", F.posexplode(F.concat(_prints(hashed, n), mark)).alias("start", "fp"))
+        rows = raw.select("doc_id", "row", "raw", F.posexplode(F.concat(_prints(hashed, n), mark)).alias("start", "fp"))
         own = prints.where(F.col("length") == n).select("fp").unionByName(docs.sparkSession.createDataFrame([(_MARK,)], "fp bigint")).distinct()
         rows = rows.join(F.broadcast(own), "fp")
         last = F.col("start") > F.size("raw") - n
         window = F.when(~last, F.concat_ws(" ", F.transform(F.slice("raw", F.col("start") + 1, n), _small)))
-        rows = rows.select("doc_id", F.when(last, F.size("raw")).alias("n_words"), F.lit(n).alias("length"), "start", window.alias("window"))
+        rows = rows.select("doc_id", "row", F.when(last, F.size("raw")).alias("n_words"), F.lit(n).alias("length"), "start", window.alias("window"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def _two_passes(docs: DataFrame, prints: DataFrame, lengths: list[int]) -> DataFrame:
     """The same for a benchmark too large to broadcast: a document's different fingerprints are shuffled, then the texts of documents that share one."""
-    hashed = docs.select("doc_id", F.transform(_words("text"), lambda w: F.xxhash64(_small(w))).alias("h"))
+    hashed = docs.select("doc_id", "row", F.transform(_words("text"), lambda w: F.xxhash64(_small(w))).alias("h"))
     found = None
     for n in lengths:
-        f = hashed.select("doc_id", F.size("h").alias("n_words"), F.explode_outer(F.array_distinct(_prints(F.col("h"), n))).alias("fp"))
-        f = f.join(prints.where(F.col("length") == n).select("fp", F.lit(1).alias("shared")), "fp", "left").groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("shared").alias("shared"))
+        f = hashed.select("doc_id", "row", F.size("h").alias("n_words"), F.explode_outer(F.array_distinct(_prints(F.col("h"), n))).alias("fp"))
+        f = f.join(prints.where(F.col("length") == n).select("fp", F.lit(1).alias("shared")), "fp", "left").groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.max("shared").alias("shared"))
         found = f if found is None else found.unionByName(f)
     found = staged(found)
-    maybe = found.where("shared = 1").select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.join(maybe, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("doc_id", F.transform(_words("text"), _small).alias("words"))
-    near = _windows(texts, lengths).join(prints, ["length", "fp"], "left_semi").select("doc_id", F.lit(None).cast("int").alias("n_words"), "length", "start", "window")
-    return found.select("doc_id", "n_words", F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("string").alias("window")).unionByName(near)
+    maybe = found.where("shared = 1").select("doc_id", "row").distinct()
+    texts = docs.join(maybe, ["doc_id", "row"], "left_semi").select("doc_id", "row", F.transform(_words("text"), _small).alias("words"))
+    near = _windows(texts, lengths).join(prints, ["length", "fp"], "left_semi").select("doc_id", "row", F.lit(None).cast("int").alias("n_words"), "length", "start", "window")
+    return found.select("doc_id", "row", "n_words", F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("string").alias("window")).unionByName(near)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, n_words, n_hit, items array of item ids as strings, sorted): one row for each doc_id."""
-    spark = docs.sparkSession
+    """(doc_id, row, n_words, n_hit, items array of item ids as strings, sorted): one row for each document (doc_id, row as base.row_key)."""
+    spark, document = docs.sparkSession, ["doc_id", "row"]
+    docs = docs.select(id_of("doc_id").alias("doc_id"), row_key().alias("row"), "text")
     items = (benchmark.select("item_id", F.transform(_words("text"), _small).alias("words")).where(F.size("words") > 0)
              .groupBy("words").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids")))
     items = staged(items.select(F.xxhash64("words").alias("wording"), "words", "ids"))
@@ -122,26 +123,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     prints = windows.select("length", "fp").distinct()
 
     if not lengths:
-        found = docs.groupBy("doc_id").agg(F.max(F.size(_words("text"))).alias("n_words"))
-        return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        found = docs.groupBy(document).agg(F.max(F.size(_words("text"))).alias("n_words"))
+        return found.select(shown_id("doc_id").alias("doc_id"), "row", F.col("n_words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     if windows.count() <= broadcast_rows:
         near = _one_pass(docs, prints, lengths)
     else:
         near = _two_passes(docs, prints, lengths)
     near = staged(near)
-    found = near.where("window IS NULL").groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
-    places = near.where("window IS NOT NULL").join(windows.select("length", "window").distinct(), ["length", "window"]).select("doc_id", "start", "length", "window").distinct()
+    found = near.where("window IS NULL").groupBy(document).agg(F.max("n_words").alias("n_words"))
+    places = near.where("window IS NOT NULL").join(windows.select("length", "window").distinct(), ["length", "window"]).select(*document, "start", "length", "window").distinct()
     places = staged(places)
 
     # unite the occurrences: what each adds beyond the ends before it
-    edges = places.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("at"))
+    edges = places.groupBy(document).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("at"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     n_hit = F.aggregate("at", zero, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["start"] + x["length"] - F.greatest(x["start"], a["end"]))).alias("n"), F.greatest(a["end"], x["start"] + x["length"]).alias("end")))["n"]
-    listed = (places.join(windows.select("length", "window", "wording", "ids"), ["length", "window"]).select("doc_id", "wording", "ids").distinct()
-              .groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items")))
-    hit = edges.select("doc_id", n_hit.alias("n_hit")).withColumnRenamed("doc_id", "_a").join(listed.withColumnRenamed("doc_id", "_b"), F.col("_a").eqNullSafe(F.col("_b"))).drop("_b")
-    out = found.join(hit, F.col("doc_id").eqNullSafe(F.col("_a")), "left")
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    listed = (places.join(windows.select("length", "window", "wording", "ids"), ["length", "window"]).select(*document, "wording", "ids").distinct()
+              .groupBy(document).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items")))
+    hit = edges.select(*document, n_hit.alias("n_hit")).join(listed, document)
+    out = found.join(hit, document, "left")
+    return out.select(shown_id("doc_id").alias("doc_id"), "row", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -151,9 +152,8 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark window."""
-    bad = hits(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_gone"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    """docs without the documents that hold a benchmark window; null and empty texts stay, and so do rows that share only their doc_id with such a document."""
+    return without(docs, hits(docs, benchmark).where("n_hit > 0").select(id_of("doc_id").alias("doc_id"), "row"))
 
 
 #: The same question for DuckDB: all windows of both sides, joined on their words.

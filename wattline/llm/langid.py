@@ -27,6 +27,7 @@ from wattline.llm.base import buffer_of
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
 PER_LANGUAGE, PER_DOCUMENT = 1200, 4
 EPOCHS, BATCH, RATE = 6, 128, 0.01
+FLOOR = 1.1                         # of an even share of probability, below which a document's language counts as unknown
 HELD_OUT = (5, 0)                    # crc32 of doc_id modulo 5 is 0
 _TAIL = max(WIDTHS) - 1              # a filter at a window's last byte reads on
 _ROWS = 96                           # windows handled at once, so that responses stay in cache
@@ -191,9 +192,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """docs without those whose language can't be told: null text or no letter in it."""
+    """docs without those whose language can't be told: null text, no letter in it, or one that the network gives every learned language less than
+    `FLOOR` times an even share.  Where no language could be learned only the first two go.  Rows are judged one by one, so repeated rows, repeated or null
+    ids and extra columns change nothing."""
     names, net = fit(docs)
     others = [c for c in docs.columns if c != "text"]
     out = predict(docs, names, net, *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)], with_text=True)
-    known = out.where("lang_pred <> 'und'")
+    if names:
+        known = out.where((F.col("lang_pred") != "und") & (F.col("score") >= (FLOOR / len(names) if len(names) > 1 else 0.0)))
+    else:
+        known = out.where(F.col("text").cast("string").rlike(r"\p{L}"))
     return known.select(*[F.col("text").cast("string").alias(c) if c == "text" else F.col(f"_{others.index(c)}").alias(c) for c in docs.columns])

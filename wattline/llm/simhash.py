@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm import words
-from wattline.llm.base import buffer_of, id_of, shown_id, staged, text_input
+from wattline.llm.base import buffer_of, id_of, row_key, shown_id, staged, text_input, without
 from wattline.llm.components import components
 
 SEED, SHINGLE, ERRORS = 42, 3, 2
@@ -78,12 +78,12 @@ def fingerprint_buffer(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a long; doc_id null is base.NO_ID."""
+    """(doc_id, row, fp): the 64 bits as a long; doc_id null is base.NO_ID."""
     def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprint_buffer(*buffer_of(b.column("text"))).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(fingerprint_buffer(*buffer_of(b.column("text"))).view(np.int64))], ["doc_id", "row", "fp"])
 
-    return text_input(docs).mapInArrow(task, "doc_id bigint, fp bigint")
+    return text_input(docs).mapInArrow(task, "doc_id bigint, row bigint, fp bigint")
 
 
 def _blocks(errors: int) -> list[tuple[int, int]]:
@@ -235,14 +235,14 @@ def fingerprint_links(fps: DataFrame, errors: int = ERRORS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, errors: int = ERRORS) -> DataFrame:
-    """(doc_id, fp, component_id): one row for each row of docs; ids may be base.NO_ID."""
+    """(doc_id, row, fp, component_id, component_row): one row for each row of docs, with the first document of its component; ids may be base.NO_ID."""
     marked = staged(fingerprints(docs))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     group = components(fingerprint_links(distinct.select("fp"), errors)).withColumnRenamed("node", "fp")
     grouped = distinct.join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = grouped.join(least, "component").select("fp", "component_id")
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    least = grouped.groupBy("component").agg(F.min("least").alias("first"))
+    ids = grouped.join(least, "component").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("component_row"))
+    return marked.join(ids, "fp").select("doc_id", "row", "fp", "component_id", "component_row")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -251,6 +251,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are not the first of their component."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, id_of("doc_id") == F.col("_gone"), "left_anti")
+    """docs with one row of each component: the smallest doc_id (null before all), of one doc_id the text with the smallest hash, and of rows that
+    repeat doc_id and text the least by all columns.  Documents without words are near each other like any others."""
+    documents = staged(near_duplicates(docs).groupBy("doc_id", "row").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id"), F.first("component_row").alias("component_row")))
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("row") == F.col("component_row"))
+    rest = without(docs, documents.where(~first))
+    repeated = documents.where(first & (F.col("n") > 1))
+    if repeated.isEmpty():
+        return rest
+    one = without(rest, repeated, "left_semi").groupBy(id_of("doc_id"), row_key()).agg(F.min(F.struct(*docs.columns)).alias("kept"))
+    return without(rest, repeated).unionByName(one.select("kept.*"))

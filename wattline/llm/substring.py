@@ -3,11 +3,11 @@
 Words are runs of bytes other than ASCII white space.  A window is `window` consecutive words of one document; every word covered by a window
 whose words also start anywhere else (the same document included) is removed, in all copies.  Merged partition sketches overestimate the
 counts of windows, through the anchor that equal windows share; a second pass groups exactly the windows that are estimated repeated, so none
-is lost (`repeats`).  A window is known by two independent 64-bit hashes of its words.
+is lost (`repeats`).  The second pass groups windows of one anchor by a 64-bit hash of their words; the words themselves are not moved.
 
-Null or empty text: no words, nothing removed, kept text empty.  Fewer words than a window: nothing removed.  Rows that repeat a doc_id
-count as one document (their windows are no copies of each other at the same place).  A null doc_id is a document of its own kind and
-stays null.  Columns other than doc_id and text are not looked at.  An empty table gives an empty result.
+Null or empty text: no words, nothing removed, kept text empty.  Fewer words than a window: nothing removed.  Rows with equal doc_id and equal
+text are one document (their windows are no copies of each other); rows with one doc_id, or none, and different texts are different documents.
+A null doc_id stays null.  Columns other than doc_id and text are not looked at.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def _plan(window: int) -> Plan:
 
 
 def word_windows(docs: DataFrame, window: int = 35) -> DataFrame:
-    """(doc_id, start, n): word windows start .. start + n - 1 of a document occur elsewhere too.  doc_id null is base.NO_ID."""
+    """(doc_id, row, start, n): word windows start .. start + n - 1 of a document occur elsewhere too.  doc_id null is base.NO_ID."""
     texts = text_input(docs)
     size = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
     return covered(texts, _plan(window), size // 6)
@@ -57,8 +57,8 @@ def word_windows(docs: DataFrame, window: int = 35) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = 35, *more: Column) -> DataFrame:
     """(doc_id, n_words, n_removed, text, more...): one row for each row of docs; text is its kept words joined by one space."""
-    spans = (word_windows(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-             .select("doc_id", "spans.start", "spans.n"))
+    spans = (word_windows(docs, window).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+             .select("doc_id", "row", "spans.start", "spans.n"))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -80,8 +80,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, *more: Column) -> DataFram
                                              ["doc_id", "n_words", "n_removed", "kept", *b.schema.names[4:]])
 
     texts = text_input(docs, *more)
-    extra = texts.columns[2:]
-    joined = texts.join(spans, "doc_id", "left").select("doc_id", "text", "start", "n", *extra)
+    extra = texts.columns[3:]
+    joined = texts.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "start", "n", *extra)
     schema = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in extra)
     out = joined.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept binary" + schema)
     return out.select(shown_id("doc_id").alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("text"), *extra)

@@ -11,8 +11,9 @@ A symbol is a block of `BLOCK` bytes, so a window is exactly window / BLOCK symb
 shift; all byte positions are suffixes.  Blocks are named by a 64-bit hash and ranked within the task; equal neighbours are then compared
 byte by byte, so names that clash can't remove anything.
 
-Null or empty text, or one shorter than a window: nothing removed.  Ties (equal strings at one doc_id and place, from repeated rows)
-are no copies of each other.  A null doc_id comes before all others and stays null.  Columns other than doc_id and text are not looked at.
+Null or empty text, or one shorter than a window: nothing removed.  Rows with equal doc_id and equal text are one document, no copies of each other;
+rows with one doc_id and different texts are different documents, in the order of their texts' hashes.  So are rows with a null doc_id, which come
+before all others and stay null.  Columns other than doc_id and text are not looked at.
 An empty table gives an empty result.
 """
 
@@ -179,7 +180,7 @@ def _plan(window: int, anchor: int, block: int) -> Plan:
 
 
 def byte_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
-    """(doc_id, start, n): the byte strings of `window` bytes at start .. start + n - 1 of a document also start earlier."""
+    """(doc_id, row, start, n): the byte strings of `window` bytes at start .. start + n - 1 of a document also start earlier."""
     if window % block or window < block:
         raise ValueError("the window must be a whole number of blocks")
     texts = text_input(docs)
@@ -189,8 +190,8 @@ def byte_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bl
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary): one row for each row of docs."""
-    spans = (byte_windows(docs, window, anchor, block).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-             .select("doc_id", "spans.start", "spans.n"))
+    spans = (byte_windows(docs, window, anchor, block).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+             .select("doc_id", "row", "spans.start", "spans.n"))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -213,7 +214,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = text_input(docs).join(spans, "doc_id", "left").select("doc_id", "text", "start", "n")
+    joined = text_input(docs).join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "start", "n")
     out = joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return out.withColumn("doc_id", shown_id("doc_id"))
 
