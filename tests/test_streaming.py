@@ -61,15 +61,52 @@ def test_last_copy_wins_over_batches(spark, tmp_path):
         assert {(r["k"], r["v"]) for r in spark.read.parquet(out).collect()} == {("a", 9.0), ("b", 2.0), ("c", 5.0), ("d", 4.0)}
 
 
-def test_late_rows_are_counted_and_the_state_stays(spark, tmp_path):
-    stamps = [(5, 1.0), (10, 2.0), (7, 50.0), (15, 3.0)]
-    df = spark.createDataFrame([(T0 + timedelta(minutes=m), "a", v) for m, v in stamps], "ts_utc timestamp, e string, v double")
+def arriving(spark, tmp_path, slots, schema):
+    """A stream of the given files, one a batch; a far row of entity `end` comes last and closes all others."""
     src = str(tmp_path / "in")
-    for lo, hi in ((0, 2), (2, 3), (3, 4)):
-        spark.createDataFrame(df.collect()[lo:hi], df.schema).coalesce(1).write.mode("append").parquet(src)
-    parts = drain(twins.time_weighted_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src), "e", "v", nominal=0))
-    got = {r["ts_utc"].minute: (r["value"], r["covered_s"], r["late_rows"]) for r in twins.finish_partials(parts).collect()}
-    assert got[5][:2] == (2.0, 300.0) and got[10][:2] == (3.0, 300.0) and sum(v[2] for v in got.values()) == 1
+    for rows in [*slots, [(T0 + timedelta(days=400), "end", 0.0)]]:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+SERIES = "ts_utc timestamp, e string, v double"
+
+
+def test_rows_out_of_order_have_their_weight(spark, tmp_path):
+    """The row of minute 7 comes a batch after that of minute 10; within the lateness it counts as if it had come in order."""
+    at = lambda *rows: [(T0 + timedelta(minutes=m), "a", v) for m, v in rows]                     # noqa: E731
+    stream = arriving(spark, tmp_path, [at((5, 1.0), (10, 2.0)), at((7, 50.0)), at((15, 3.0))], SERIES)
+    parts = drain(twins.time_weighted_stream(stream, "e", "v", nominal=0, lateness="10 minutes"))
+    got = {r["ts_utc"].minute: (r["value"], r["covered_s"]) for r in twins.finish_partials(parts).where("entity = 'a'").collect()}
+    assert got == {5: ((50.0 * 2 + 2.0 * 3) / 5, 300.0), 10: (3.0, 300.0)}
+
+
+def test_shuffled_arrival_equals_batch(spark, tmp_path):
+    """Rows delayed by up to an hour, over chunks of two hours, from several series; one of them has most of the rows."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for e, n in (("a", 300), ("b", 40), ("c", 3)):
+        t = T0
+        for _ in range(n):
+            t += timedelta(seconds=int(rng.choice([150, 300, 300, 420, 2000])), microseconds=int(rng.integers(0, 10**6)))
+            rows.append((t, e, float(rng.normal(30, 5))))
+    arrival = [t + timedelta(seconds=float(rng.uniform(0, 3500))) for t, *_ in rows]
+    order = np.argsort(arrival)
+    slots = [[rows[i] for i in part] for part in np.array_split(order, 5)]
+    df = spark.createDataFrame(rows, SERIES)
+    batch = time_weighted(df, ["e"], ["v"]).select("ts_utc", F.col("e").alias("entity"), F.round("v", 6).alias("value"), F.round("covered_s", 3).alias("covered_s"))
+    parts = drain(twins.time_weighted_stream(arriving(spark, tmp_path, slots, SERIES), "e", "v", chunk=7200))
+    done = twins.finish_partials(parts).where("entity <> 'end'")
+    got = done.select("ts_utc", "entity", F.round("value", 6).alias("value"), F.round("covered_s", 3).alias("covered_s"))
+    assert got.count() == batch.count() and got.exceptAll(batch).count() == 0 and done.agg(F.sum("late_rows")).first()[0] == 0
+
+
+def test_rows_beyond_the_lateness_have_no_weight(spark, tmp_path):
+    at = lambda *rows: [(T0 + timedelta(minutes=m), "a", v) for m, v in rows]                     # noqa: E731
+    stream = arriving(spark, tmp_path, [at((5, 1.0), (10, 2.0)), at((90, 4.0)), at((91, 4.0)), at((7, 50.0))], SERIES)
+    parts = drain(twins.time_weighted_stream(stream, "e", "v", nominal=0, lateness="5 minutes"))
+    got = {r["ts_utc"].minute: r["value"] for r in twins.finish_partials(parts).where("entity = 'a' and covered_s > 0").collect()}
+    assert got[5] == 2.0
 
 
 def test_sessions_match_compaction(spark, tmp_path):
@@ -80,14 +117,6 @@ def test_sessions_match_compaction(spark, tmp_path):
     assert got.count() >= batch.count() - 4 and got.join(batch, got.columns, "left_anti").count() == 0
 
 
-def test_time_weighting_matches_batch(spark, tmp_path):
-    df = series(spark, 50, 2)
-    batch = time_weighted(df, ["e"], ["v"]).select("ts_utc", F.col("e").alias("entity"), F.round("v", 6).alias("value"), F.round("covered_s", 3).alias("covered_s"))
-    parts = drain(twins.time_weighted_stream(stream_of(spark, df, tmp_path, "ts_utc"), "e", "v"))
-    got = twins.finish_partials(parts).select("ts_utc", "entity", F.round("value", 6).alias("value"), F.round("covered_s", 3).alias("covered_s"))
-    assert got.count() == batch.count() and got.exceptAll(batch).count() == 0
-
-
 def test_conformal_matches_batch(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(f"s{k}", i, float(rng.normal(40, 3)), float(rng.normal(40, 5))) for i in range(80) for k in range(2)]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from wattline.operators.ordered import keep_last
+from wattline.operators.ordered import DAY, keep_last
 from wattline.operators.timeweight import split_over_buckets
 from wattline.plans.postprocess import ConformalState
 from wattline.session import cut_lineage
@@ -41,44 +41,94 @@ def snapshot_sessions(stream: DataFrame, keys: list[str], ts: str = "ts_utc", ga
     return s.agg(F.min(ts).alias("first_seen_utc"), F.max(ts).alias("last_seen_utc"), F.count(F.lit(1)).alias("snapshots")).drop("session_window")
 
 
-class _PreviousStamp(StatefulProcessor):
-    """Remembers the last stamp of an entity and turns end-stamped rows into intervals.  Rows of a batch are put in order first."""
+class _HeldRows(StatefulProcessor):
+    """Holds the rows of one (entity, chunk of time) until the watermark has passed them and gives out their intervals in order of their stamps.
 
-    def __init__(self, nominal: int, max_gap: int):
-        self.nominal, self.max_gap = nominal, max_gap
+    Rows that arrive out of order, in one batch or over many, wait in list state; an event-time timer on the earliest of them wakes the key.  Only the
+    last stamp given out is kept beside them, and all state goes when the watermark has passed the chunk.  Rows marked `halo` belong to the chunk before
+    and only serve as the neighbour of the chunk's first rows.  A row behind the last stamp given out came later than the stream's lateness and is counted.
+    """
+
+    def __init__(self, nominal: int, max_gap: int, chunk: int):
+        self.nominal, self.max_gap, self.chunk = nominal, max_gap, chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "micros long")
+        self.handle = handle
+        self.held = handle.getListState("held", "stamp long, value double, halo boolean")
+        self.last = handle.getValueState("last", "stamp long")
+
+    def _end(self, key) -> int:
+        return (int(key[1]) + 1) * self.chunk * 1000
+
+    def _wake(self, stamp: int) -> None:
+        self.handle.registerTimer(-(-stamp // 1000))           # timers are in milliseconds, stamps in microseconds
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("stamp", kind="stable")
         known = self.last.get()[0] if self.last.exists() else None
-        if known is not None and (late := pdf["stamp"] <= known).any():          # their interval has been given out already
-            yield pd.DataFrame({"entity": key[0], "value": 0.0, "start_us": pdf["stamp"][late] - 1_000_000, "end_us": pdf["stamp"][late], "late": 1})
-            pdf = pdf[~late]
-        if pdf.empty:
-            return
-        stamp = pdf["stamp"].to_numpy(np.int64)
-        prev = np.concatenate([[known if known is not None else np.iinfo(np.int64).min // 2], stamp[:-1]])
-        start = np.where(stamp - prev > self.max_gap * 1_000_000, stamp - self.nominal * 1_000_000, prev)
-        self.last.update((int(stamp[-1]),))
-        yield pd.DataFrame({"entity": key[0], "value": pdf["value"].to_numpy(float), "start_us": start, "end_us": stamp, "late": 0})
+        earliest = None
+        for pdf in rows:
+            late = pdf["stamp"].to_numpy(np.int64) <= (known if known is not None else np.iinfo(np.int64).min)
+            if late.any():
+                own = pdf[late & ~pdf["halo"].to_numpy(bool)]
+                if len(own):
+                    yield pd.DataFrame({"entity": key[0], "value": 0.0, "start_us": own["stamp"] - 1_000_000, "end_us": own["stamp"], "late": 1})
+                pdf = pdf[~late]
+            if len(pdf):
+                self.held.appendList(list(pdf[["stamp", "value", "halo"]].itertuples(index=False, name=None)))
+                first = int(pdf["stamp"].min())
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self._wake(earliest)
+            self.handle.registerTimer(self._end(key))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.held.get()) if self.held.exists() else []
+        ready = [r for r in rows if r[0] <= passed]
+        rest = rows[len(ready):]
+        if ready:
+            known = self.last.get()[0] if self.last.exists() else np.iinfo(np.int64).min // 2
+            stamp, value, halo = (np.array(c) for c in zip(*ready, strict=True))
+            prev = np.concatenate([[known], stamp[:-1]])
+            start = np.where(stamp - prev > self.max_gap * 1_000_000, stamp - self.nominal * 1_000_000, prev)
+            self.last.update((int(stamp[-1]),))
+            own = ~halo.astype(bool)
+            if own.any():
+                yield pd.DataFrame({"entity": key[0], "value": value[own].astype(float), "start_us": start[own], "end_us": stamp[own], "late": 0})
+            if rest:
+                self.held.put(rest)
+            else:
+                self.held.clear()
+        if rest:
+            self._wake(rest[0][0])
+        elif passed >= self._end(key) * 1000:
+            self.last.clear()
 
     def close(self) -> None:
         pass
 
 
-def time_weighted_stream(stream: DataFrame, entity: str, value: str, bucket: int = 300, ts: str = "ts_utc",
-                         nominal: int = NOMINAL_MINUTES * 60, max_gap: int = MAX_GAP_MINUTES * 60) -> DataFrame:
-    """Time-weighted buckets of an end-stamped stream whose rows arrive in order per entity from batch to batch; in a batch any order will do.
+def time_weighted_stream(stream: DataFrame, entity: str, value: str, bucket: int = 300, ts: str = "ts_utc", nominal: int = NOMINAL_MINUTES * 60,
+                         max_gap: int = MAX_GAP_MINUTES * 60, lateness: str = "1 hour", chunk: int = DAY) -> DataFrame:
+    """Time-weighted buckets of an end-stamped stream whose rows may arrive in any order within `lateness`: the sums are those of the batch operator.
 
-    The state is one stamp per entity and never moves back.  A row that comes behind it is late: it has no weight and is counted in `late` of its bucket,
-    so a bucket with late rows can be computed anew from the stored series.  Output is one partial sum per (bucket, entity) and batch (update mode adds up);
-    `finish_partials` turns accumulated partials into averages.
+    An entity's rows are keyed by chunks of `chunk` seconds, each with a halo of `max_gap` from the chunk before, so a series that holds a third of all rows
+    is spread over tasks and state ends with its chunk.  Output (append mode): one partial sum for each interval and bucket, once the watermark has passed the interval's
+    end; `finish_partials` adds partials up.  Rows later than `lateness` have no weight: Spark drops those behind the watermark (its metric counts
+    them), and one that comes between the watermark and the last stamp given out is counted in `late` of its bucket.  Rows of the last `lateness` of
+    a stream stay held until later rows move the watermark.
     """
-    rows = stream.select(F.col(entity).alias("entity"), (F.unix_micros(ts) + F.lit(nominal * 1_000_000)).alias("stamp"), F.col(value).cast("double").alias("value"))
-    out = rows.groupBy("entity").transformWithStateInPandas(
-        _PreviousStamp(nominal, max_gap), "entity string, value double, start_us long, end_us long, late int", outputMode="Append", timeMode="None")
+    if max_gap > chunk:
+        raise ValueError("max_gap must fit inside one chunk")
+    width = chunk * 1_000_000
+    rows = stream.withColumn("_stamp_ts", F.col(ts) + F.make_dt_interval(secs=F.lit(nominal))).withWatermark("_stamp_ts", lateness)
+    stamp = F.unix_micros("_stamp_ts")
+    home = F.floor(stamp / F.lit(width)).cast("long")
+    both = F.when(F.pmod(stamp, F.lit(width)) >= F.lit(width - max_gap * 1_000_000), F.array(home, home + 1)).otherwise(F.array(home))
+    laid = rows.select("_stamp_ts", F.col(entity).alias("entity"), stamp.alias("stamp"), F.col(value).cast("double").alias("value"), home.alias("home"), F.explode(both).alias("chunk"))
+    keyed = laid.select("_stamp_ts", "entity", "chunk", "stamp", "value", (F.col("chunk") != F.col("home")).alias("halo"))
+    out = keyed.groupBy("entity", "chunk").transformWithStateInPandas(
+        _HeldRows(nominal, max_gap, chunk), "entity string, value double, start_us long, end_us long, late int", outputMode="Append", timeMode="EventTime")
     spans = out.select("entity", "value", "late", F.timestamp_micros("start_us").alias("start_ts"), F.timestamp_micros("end_us").alias("end_ts"))
     pieces = split_over_buckets(spans, bucket)
     return pieces.select("bucket_ts", "entity", F.when(F.col("late") == 0, F.col("value") * F.col("w")).otherwise(0.0).alias("vw"), F.when(F.col("late") == 0, F.col("w")).otherwise(F.lit(0).cast("double")).alias("w"), "late")
