@@ -13,6 +13,8 @@ from wattline.settings import MARKET_TZ
 # fixed values: physical ranges outside which a report is dropped
 OBS_RANGES = {"temp_c": (-45.0, 45.0), "dewpoint_c": (-60.0, 35.0), "wind_ms": (0.0, 60.0)}
 OBS_COLUMNS = {"DATE": "obs_utc", "temperature": "temp_c", "dew_point_temperature": "dewpoint_c", "wind_speed": "wind_ms"}
+# fixed values: columns of the archived outage schedule; older files have no message, which then is NULL
+OUTAGE_HEADERS = ["PTID", "Outage ID", "Equipment Name", "Equipment Type", "Date Out", "Time Out", "Date In", "Time In", "Called In", "Status", "Status Date", "Message"]
 # fixed values: forecast latencies in hours
 FORECAST_LATENCY_H = 6
 GRID_RUN_LATENCY_H = 2
@@ -36,7 +38,7 @@ def weather_observations(raw: DataFrame) -> DataFrame:
 
 def read_weather_observations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Pipe-separated station files; the station code is the part of the file name before the first underscore."""
-    raw = read_text_rows(spark, paths, sep="|")
+    raw = read_text_rows(spark, paths, list(OBS_COLUMNS), sep="|")
     return weather_observations(raw.withColumn("station", F.regexp_extract("_file", r"([^/_]+)_[^/]*$", 1)))
 
 
@@ -64,18 +66,17 @@ def outage_schedule(raw: DataFrame, tz: str = MARKET_TZ) -> DataFrame:
         text = F.concat_ws(" ", F.trim(f"`{day}`"), F.trim(f"`{time}`")) if time else F.trim(f"`{day}`")
         return local_to_utc(F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"), tz)
 
-    message = F.trim("Message") if "Message" in raw.columns else F.lit(None).cast("string")
     return raw.select(
         stamp.alias("snapshot_utc"), F.col("PTID").try_cast("bigint").alias("ptid"), F.trim("`Outage ID`").alias("outage_id"),
         F.trim("`Equipment Name`").alias("equipment"), F.trim("`Equipment Type`").alias("equipment_type"),
         at("Date Out", "Time Out", "MM/dd/yyyy HH:mm").alias("sched_out_utc"),
         at("Date In", "Time In", "MM/dd/yyyy HH:mm").alias("sched_in_utc"), F.trim("`Called In`").alias("called_in"),
         F.trim("Status").alias("status"), at("Status Date", None, "MM-dd-yyyy HH:mm").alias("status_date_utc"),
-        message.alias("message"), stamp.alias("available_utc"))
+        F.trim("Message").alias("message"), stamp.alias("available_utc"))
 
 
 def read_outage_schedule(spark: SparkSession, paths: str | list[str], tz: str = MARKET_TZ) -> DataFrame:
-    return outage_schedule(read_text_rows(spark, paths), tz)
+    return outage_schedule(read_text_rows(spark, paths, OUTAGE_HEADERS), tz)
 
 
 def zone_forecast(cells: DataFrame, cell_zones: DataFrame, tz: str = MARKET_TZ) -> DataFrame:
