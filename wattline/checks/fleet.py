@@ -6,12 +6,13 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from wattline.checks.base import Tables, check, rounded
+from wattline.checks.base import FOLDS_SQL, LAGGED_SQL, Tables, check, rounded
 from wattline.checks.panels import ZONES, build
 from wattline.models.ensemble import average_members
 from wattline.models.lear import LearModel
 from wattline.models.naive import NaiveModel, ZeroCongestion
 from wattline.models.spike import excess_quantiles
+from wattline.operators.boosting import Fit, Options, boost, predict
 from wattline.plans.backtest import run_folds
 from wattline.plans.folds import Fold
 from wattline.session import cut_lineage
@@ -55,3 +56,46 @@ def ensemble(t: Tables):
     from wattline.checks.scoring import calibrated
 
     return rounded(average_members(calibrated(t).filter("q01 IS NOT NULL")).select("delivery_date", "zone", "market", "mean", "q05", "q50", "q95"))
+
+
+def _boost_rows(t: Tables):
+    """Book rows with features in steps of two from 44 to 60, so that both engines see the same cut points: yesterday's and last week's price, the real-time price two days ago."""
+    b = t.lagged_book()
+    whole = lambda c: F.least(F.greatest(2 * F.floor(F.col(c) / 2), F.lit(44)), F.lit(60)).cast("double")       # noqa: E731
+    code = F.substring("zone", 1, 1).cast("int")
+    return b.select(F.xxhash64("d", "zone").alias("id"), F.unix_date("d").alias("day"), code.alias("part"), F.array(whole("da_l1"), whole("da_l7"), whole("rt_l2")).alias("x"),
+                    F.array("da", "rt").alias("y"), "d", "zone")
+
+
+def _boost_fits(t: Tables) -> list[Fit]:
+    number = lambda d: (d - date(1970, 1, 1)).days                                               # noqa: E731
+    return [Fit((f.name, m), i, number(f.train_start), number(f.train_end), number(f.test_start), number(f.test_end)) for f in t.folds() for i, m in enumerate(("da", "rt"))]
+
+
+@check("boosted_first_split", f"""WITH {LAGGED_SQL}, {FOLDS_SQL},
+r AS MATERIALIZED (SELECT d, zone, list_transform([da_l1, da_l7, rt_l2], lambda v: CASE WHEN v IS NOT NULL THEN least(greatest(2 * floor(v / 2), 44), 60) END) AS x, [da, rt] AS y FROM lagged),
+s AS MATERIALIZED (SELECT fold, ['da', 'rt'][k] AS market, f - 1 AS feature, coalesce(x[f], -1e9) AS v, count(*) AS n, sum(y[k]) AS g
+  FROM r, folds, (SELECT unnest([1, 2]) AS k), (SELECT unnest([1, 2, 3]) AS f) WHERE d >= train_start AND d < train_end GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER w AS ln, sum(g) OVER w AS lg, sum(n) OVER p AS tn, sum(g) OVER p AS tg FROM s WINDOW w AS (PARTITION BY fold, market, feature ORDER BY v ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY fold, market, feature)),
+q AS (SELECT *, lg * lg / ln + (tg - lg) * (tg - lg) / (tn - ln) - tg * tg / tn AS gain FROM c WHERE ln >= 20 AND tn - ln >= 20)
+SELECT fold, market, CAST(feature AS INTEGER) AS feature, round(lg / ln, 6) AS left_mean, round((tg - lg) / (tn - ln), 6) AS right_mean
+FROM (SELECT *, row_number() OVER (PARTITION BY fold, market ORDER BY round(gain, 6) DESC, feature, v) AS i FROM q) WHERE i = 1""")
+def boosted_first_split(t: Tables):
+    """Root split of every fold's and market's tree, found in one job; leaves are shown with the target's mean added back."""
+    options = Options("l2", trees=1, depth=1, rate=1.0, min_rows=20, bins=127, rows=1.0, features=1.0)
+    fits = _boost_fits(t)
+    forest = boost(_boost_rows(t).drop("d", "zone"), fits, 3, 2, options)
+    rows = [(*f.name, int(forest.feature[0][k, 0]), float(forest.start[k] + forest.value[0][k, 1]), float(forest.start[k] + forest.value[0][k, 2])) for k, f in enumerate(fits) if forest.feature[0][k, 0] >= 0]
+    return rounded(t.spark.createDataFrame(rows, "fold string, market string, feature int, left_mean double, right_mean double"))
+
+
+@check("boosted_forecast")
+def boosted_forecast(t: Tables):
+    """Trees of all folds and both markets: mean absolute error of each fold beside that of yesterday's price.  No SQL: the first split has it, and tests hold whole trees against a search of all splits."""
+    options = Options("l1", trees=8, depth=3, rate=0.4, min_rows=20, bins=32)
+    rows, fits = cut_lineage(_boost_rows(t)), _boost_fits(t)
+    forest = boost(rows.drop("d", "zone"), fits, 3, 2, options)
+    names = F.array(*[F.struct(F.lit(f.name[0]).alias("fold"), F.lit(f.name[1]).alias("market"), F.lit(f.target).alias("target")) for f in fits])
+    made = predict(rows, forest, options).select("id", F.get(names, F.col("fit")).alias("f"), "mean").select("id", "f.*", "mean")
+    j = made.join(rows, "id").withColumn("actual", F.get("y", F.col("target")))
+    return rounded(j.groupBy("fold", "market").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("mean") - F.col("actual"))).alias("mae"), F.avg(F.abs(F.get("x", F.lit(0)) - F.col("actual"))).alias("persistence_mae")), 4)

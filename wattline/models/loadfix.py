@@ -6,12 +6,12 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline import settings as S
-from wattline.models.trees import assemble_features
+from wattline.operators.boosting import Fit, Options, boost, predict
+from wattline.session import cut_lineage
 from wattline.operators.scoring import with_total
 from wattline.plans.folds import Fold, assign_test_fold, month_fold, month_starts, spread_history
 
@@ -91,20 +91,20 @@ def _predictions(d: DataFrame) -> DataFrame:
 
 def tree_correction(d: DataFrame, folds: list[Fold], weather: bool = True, n_trees: int = 600, depth: int = 6, learning_rate: float = 0.03,
                     zones: list[str] = S.INTERNAL_ZONES, min_rows: int = 200) -> DataFrame:
-    """r_hat from boosted trees pooled over zones; weather=False is the calendar-only ablation."""
-    rows = assemble_features(d, WEATHER_FEATURES if weather else CALENDAR_FEATURES, zones)
-    out = None
-    for f in folds:
-        ok = F.col("r").isNotNull() & F.col("load_fcst_zone").isNotNull() & F.col("hrrr_temp_zone").isNotNull()
-        train = rows.filter(ok & (F.col("delivery_date") >= F.lit(f.train_start)) & (F.col("delivery_date") < F.lit(f.train_end)))
-        test = rows.filter((F.col("delivery_date") >= F.lit(f.test_start)) & (F.col("delivery_date") < F.lit(f.test_end)))
-        model = GBTRegressor(labelCol="r", predictionCol="_p", maxIter=n_trees, maxDepth=depth, stepSize=learning_rate, subsamplingRate=0.8,
-                             minInstancesPerNode=min_rows, maxBins=127, seed=0).fit(train.select("features", "r"))
-        have = F.col("hrrr_temp_zone").isNotNull() & F.col("load_fcst_zone").isNotNull()
-        part = model.transform(test).withColumn("r_hat", F.when(have, F.col("_p")).otherwise(F.lit(0.0))).drop("_p", "features")
-        part = _predictions(part.withColumn("fold", F.lit(f.name)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """r_hat from boosted trees pooled over zones, the trees of all folds grown together; weather=False is the calendar-only ablation."""
+    features = WEATHER_FEATURES if weather else CALENDAR_FEATURES
+    number = lambda day: (day - date(1970, 1, 1)).days                                   # noqa: E731
+    code = F.array_position(F.array(*[F.lit(z) for z in zones]), F.col("zone")).cast("int")
+    ok = F.col("r").isNotNull() & F.col("load_fcst_zone").isNotNull() & F.col("hrrr_temp_zone").isNotNull()
+    rows = cut_lineage(d.withColumns({"id": F.xxhash64("ts_utc", "zone"), "day": F.unix_date("delivery_date"), "part": code, "y": F.array(F.when(ok, F.col("r").cast("double"))),
+                                      "x": F.array(*[F.col(c).cast("double") for c in features], code.cast("double"))}).where("part > 0"))
+    fits = [Fit((f.name,), 0, number(f.train_start), number(f.train_end), number(f.test_start), number(f.test_end)) for f in folds]
+    options = Options("l2", n_trees, depth, learning_rate, min_rows, bins=127, rows=0.8, features=1.0)
+    made = predict(rows, boost(rows.select("id", "day", "part", "x", "y"), fits, len(features) + 1, 1, options), options)
+    names = F.array(*[F.lit(f.name) for f in folds])
+    have = F.col("hrrr_temp_zone").isNotNull() & F.col("load_fcst_zone").isNotNull()
+    part = rows.join(made.select("id", F.get(names, F.col("fit")).alias("fold"), F.col("mean").alias("_p")), "id")
+    return _predictions(part.withColumn("r_hat", F.when(have, F.col("_p")).otherwise(F.lit(0.0))).drop("_p", "id", "day", "part", "x", "y"))
 
 
 def debias(pred: DataFrame, d: DataFrame, folds: list[Fold]) -> DataFrame:
