@@ -12,7 +12,7 @@ from wattline.operators.scoring import ks_uniform
 from wattline.operators.significance import clustered_slope
 from wattline.plans.diagnostics import per_trial
 
-BLOCKS, DRAWS, N = 8, 50, 400
+BLOCKS, DRAWS, MEAN_DRAWS = 16, 2000, 10_000           # the operators' defaults
 
 
 def lcg(b, t, stream):
@@ -58,50 +58,50 @@ best AS (SELECT combo, trial, i, o FROM (SELECT *, row_number() OVER (PARTITION
 ranked AS (SELECT b.combo, b.trial, b.i, b.o, 1 + count(*) FILTER (r.o < b.o) AS rank, count(*) AS nt FROM best b JOIN r USING (combo) GROUP BY ALL)"""
 
 
-@check("cscv_splits", f"WITH {CSCV_SQL} SELECT combo, trial, round(i, 6) AS is_best, round(o, 6) AS oos_best, CAST(rank AS INTEGER) AS rank, round(ln((rank / (nt + 1)) / (1 - rank / (nt + 1))), 6) AS logit FROM ranked")
+@check("cscv_splits", f"WITH {CSCV_SQL} SELECT combo, trial, round(i, 9) AS is_best, round(o, 9) AS oos_best, CAST(rank AS INTEGER) AS rank, round(ln((rank / (nt + 1)) / (1 - rank / (nt + 1))), 6) AS logit FROM ranked")
 def cscv_splits(t: Tables):
-    c = O.cscv_table(skill(t), BLOCKS).drop("oos_all", "n_trials")
-    return rounded(c.withColumns({"combo": F.col("combo").cast("bigint"), "rank": F.col("rank").cast("int")}))
+    c = O.cscv_table(skill(t)).drop("oos_all", "n_trials")
+    return rounded(c.withColumn("logit", F.round("logit", 6)), 9)
 
 
 @check("backtest_overfitting", f"""WITH {CSCV_SQL}, l AS (SELECT *, ln((rank / (nt + 1)) / (1 - rank / (nt + 1))) AS logit FROM ranked)
 SELECT round(avg(CASE WHEN logit <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, round(median(logit), 6) AS logit_median, count(*) AS combinations, round(regr_slope(o, i), 4) AS degradation_slope,
 round(avg(CASE WHEN o < 0 THEN 1.0 ELSE 0.0 END), 6) AS prob_oos_loss, round(median(o), 6) AS oos_selected_median FROM l""")
 def backtest_overfitting(t: Tables):
-    p = O.pbo(skill(t), BLOCKS).select("pbo", "logit_median", "combinations", F.round("degradation_slope", 4).alias("degradation_slope"), "prob_oos_loss", "oos_selected_median")
+    p = O.pbo(skill(t)).select("pbo", "logit_median", "combinations", F.round("degradation_slope", 4).alias("degradation_slope"), "prob_oos_loss", "oos_selected_median")
     return rounded(p)
 
 
-BOOT_SQL = f"""g AS (SELECT CAST(b AS BIGINT) AS b, CAST(t AS BIGINT) AS t FROM (SELECT unnest(range(1, {DRAWS + 1})) AS b), (SELECT unnest(range(0, {{n}})) AS t)),
+BOOT_SQL = f"""g AS (SELECT CAST(b AS BIGINT) AS b, CAST(t AS BIGINT) AS t FROM (SELECT unnest(range(1, {{k}} + 1)) AS b), (SELECT unnest(range(0, {{n}})) AS t)),
 f AS (SELECT b, t, t = 0 OR {LCG_SQL.format(s=1)} < {{p}} AS fresh, CAST(floor({LCG_SQL.format(s=2)} * {{n}}) AS BIGINT) AS st FROM g),
 blk AS (SELECT b, t, last_value(CASE WHEN fresh THEN st END IGNORE NULLS) OVER w AS st, last_value(CASE WHEN fresh THEN t END IGNORE NULLS) OVER w AS a0 FROM f WINDOW w AS (PARTITION BY b ORDER BY t ROWS UNBOUNDED PRECEDING)),
 idx AS (SELECT b, t, CAST((st + t - a0) % {{n}} AS INTEGER) AS idx FROM blk)"""
 
 
-@check("stationary_bootstrap", f"""WITH n AS (SELECT count(DISTINCT CAST(ts AS DATE)) AS n FROM events), {BOOT_SQL.format(n='(SELECT n FROM n)', p='0.2')} SELECT b, CAST(t AS INTEGER) AS t, idx FROM idx""")
+@check("stationary_bootstrap", f"""WITH n AS (SELECT count(DISTINCT CAST(ts AS DATE)) AS n FROM events), {BOOT_SQL.format(k=DRAWS, n='(SELECT n FROM n)', p='0.2')} SELECT b, CAST(t AS INTEGER) AS t, idx FROM idx""")
 def stationary_bootstrap(t: Tables):
     n = t.events.select(F.to_date("ts")).distinct().count()
     return stationary_indices(t.spark, n, DRAWS, 5.0, uniform=lcg).select("b", F.col("t").cast("int").alias("t"), "idx")
 
 
 @check("bootstrap_mean_test", f"""WITH {SKILL_SQL}, x AS (SELECT day, sum(v) AS x FROM skill WHERE trial = 'm1' GROUP BY 1), o AS (SELECT count(*) AS n, avg(x) AS mu, stddev_samp(x) AS sd FROM x),
-s AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, x - mu AS z FROM x, o), {BOOT_SQL.format(n='(SELECT n FROM o)', p='0.2')},
+s AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, x - mu AS z FROM x, o), {BOOT_SQL.format(k=MEAN_DRAWS, n='(SELECT n FROM o)', p='0.2')},
 sim AS (SELECT b, avg(z) / stddev_samp(z) * sqrt(count(*)) AS ts FROM idx JOIN s ON s.i = idx.idx GROUP BY 1) SELECT any_value(n) AS n_days, round(any_value(mu), 6) AS mean, round(any_value(mu / sd * sqrt(n)), 6) AS t_stat,
 round(avg(CASE WHEN ts >= mu / sd * sqrt(n) THEN 1.0 ELSE 0.0 END), 6) AS p_value FROM sim, o""")
 def bootstrap_mean_test(t: Tables):
     s = skill(t).filter("trial = 'm1'")
-    return rounded(bootstrap_mean_p(s, [], "day", "value", DRAWS, 5.0, uniform=lcg))
+    return rounded(bootstrap_mean_p(s, [], "day", "value", uniform=lcg))
 
 
 @check("superior_predictive_ability", f"""WITH {SKILL_SQL}, k AS (SELECT * FROM skill WHERE trial <> 'm7'), pos AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM k)), c AS (SELECT count(*) AS n FROM pos),
-{BOOT_SQL.format(n='(SELECT n FROM c)', p='0.1')}, bm AS (SELECT b, trial, sum(v) / any_value(n) AS m FROM idx JOIN pos ON pos.i = idx.idx JOIN k USING (day), c GROUP BY 1, 2), ob AS (SELECT trial, avg(v) AS d FROM k GROUP BY 1),
+{BOOT_SQL.format(k=DRAWS, n='(SELECT n FROM c)', p='0.1')}, bm AS (SELECT b, trial, sum(v) / any_value(n) AS m FROM idx JOIN pos ON pos.i = idx.idx JOIN k USING (day), c GROUP BY 1, 2), ob AS (SELECT trial, avg(v) AS d FROM k GROUP BY 1),
 st AS (SELECT ob.trial, any_value(d) AS d, sqrt(any_value(n) * var_pop(m)) AS w, any_value(n) AS n FROM bm JOIN ob USING (trial), c GROUP BY 1), s2 AS (SELECT *, -sqrt(w * w / n * 2 * ln(ln(n))) AS thr FROM st),
 seen AS (SELECT greatest(max(sqrt(n) * d / w), 0) AS spa, max(sqrt(n) * d) AS rc FROM s2), dr AS (SELECT b, greatest(max(sqrt(n) * (m - d + least(d, 0)) / w), 0) AS lo, greatest(max(sqrt(n) * (m - d + CASE WHEN d >= thr THEN 0 ELSE d END) / w), 0) AS co,
 greatest(max(sqrt(n) * (m - d) / w), 0) AS up, max(sqrt(n) * (m - d)) AS rc FROM bm JOIN s2 USING (trial) GROUP BY 1)
 SELECT round(avg(CASE WHEN lo >= spa THEN 1.0 ELSE 0.0 END), 6) AS p_spa_lower, round(avg(CASE WHEN co >= spa THEN 1.0 ELSE 0.0 END), 6) AS p_spa_consistent, round(avg(CASE WHEN up >= spa THEN 1.0 ELSE 0.0 END), 6) AS p_spa_upper,
 round(avg(CASE WHEN dr.rc >= seen.rc THEN 1.0 ELSE 0.0 END), 6) AS p_reality_check, round(any_value(spa), 5) AS spa_stat FROM dr, seen""")
 def superior(t: Tables):
-    s = O.spa_test(skill(t).filter("trial <> 'm7'"), DRAWS, 10.0, uniform=lcg)
+    s = O.spa_test(skill(t).filter("trial <> 'm7'"), uniform=lcg)
     return rounded(s.select("p_spa_lower", "p_spa_consistent", "p_spa_upper", "p_reality_check", F.round("spa_stat", 5).alias("spa_stat")))
 
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.numeric import norm_cdf, norm_ppf
-from wattline.operators.resampling import Uniform, position_index, resample_weights, stationary_indices
+from wattline.operators.resampling import Uniform, drawn_counts, position_index, resampled_sums
+from wattline.session import cut_lineage
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -91,8 +95,8 @@ def cscv_table(skill: DataFrame, blocks: int = 16, day: str = "day", trial: str
                stat: str = "mean") -> DataFrame:
     """One row per half split: best in-sample trial, its in- and out-of-sample value, rank and logit.
 
-    Each trial becomes one array of block sums; the splits are the bit masks with half of their bits set, so a split is
-    evaluated inside a row and the only shuffle is the comparison of trials within a split.
+    The splits are the bit masks with half of their bits set.  The trials-by-blocks sums are one row; ranges of masks are dealt over tasks, and a task sums
+    both halves of all its splits for all trials as one matrix product, so neither splits nor trials are shuffled.
     """
     if blocks % 2:
         raise ValueError("blocks must be even")
@@ -102,34 +106,47 @@ def cscv_table(skill: DataFrame, blocks: int = 16, day: str = "day", trial: str
     block = F.floor((F.col("_t") - (n_days - size * blocks)) / size)
     sums = (skill.join(pos, day).withColumn("_blk", block).filter("_blk >= 0")
             .groupBy(trial, "_blk").agg(F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_q")))
-    arrays = sums.groupBy(trial).agg(F.sort_array(F.collect_list(F.struct("_blk", "_s", "_q"))).alias("_a"))
-    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << blocks) - 1)), lambda x: F.bit_count(x) == blocks // 2)
-    rows = arrays.withColumn("combo", F.explode(masks))
-    chosen = lambda s, bit: F.getbit(F.col("combo"), s["_blk"].cast("int")) == bit                         # noqa: E731
-    k = float(size * (blocks // 2))
-
-    def result(bit: int) -> Column:
-        part = F.filter("_a", lambda s: chosen(s, bit))
-        total = F.aggregate(part, F.lit(0.0), lambda a, s: a + s["_s"])
-        if stat == "mean":
-            return total / F.lit(k)
-        square = F.aggregate(part, F.lit(0.0), lambda a, s: a + s["_q"])
-        var = (square - total * total / F.lit(k)) / F.lit(k - 1)
-        return total / F.lit(k) / F.sqrt(F.greatest(var, F.lit(1e-300)))
-
-    rows = rows.select("combo", trial, result(1).alias("_in"), result(0).alias("_out"))
-    g = rows.groupBy("combo").agg(F.min_by(F.struct(F.col(trial).alias("trial"), "_in", "_out"), F.struct(-F.col("_in"), F.col(trial))).alias("_best"),
-                                  F.collect_list("_out").alias("_all"))
-    rank = F.size(F.filter("_all", lambda x: x < F.col("_best._out"))) + 1
-    out = g.select("combo", F.col("_best.trial").alias("trial"), F.col("_best._in").alias("is_best"), F.col("_best._out").alias("oos_best"),
-                   rank.alias("rank"), F.size("_all").alias("n_trials"), F.col("_all").alias("oos_all"))
+    by_trial = sums.groupBy(F.col(trial).alias("trial")).agg(F.sort_array(F.collect_list(F.struct("_blk", "_s", "_q"))).alias("_a"))
+    matrix = by_trial.agg(F.sort_array(F.collect_list(F.struct("trial", "_a"))).alias("_m")).select(
+        F.col("_m.trial").alias("names"), F.flatten(F.transform("_m", lambda m: m["_a"]["_s"])).alias("s"), F.flatten(F.transform("_m", lambda m: m["_a"]["_q"])).alias("q"))
+    step, k = max(1, (1 << blocks) // 64), float(size * (blocks // 2))
+
+    def evaluate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for low, names, s, q in zip(batch.column("low").to_pylist(), *(batch.column(c) for c in ("names", "s", "q")), strict=True):
+                masks = np.arange(low, min(low + step, 1 << blocks))
+                masks = masks[np.bitwise_count(masks) == blocks // 2]
+                if not len(masks) or not len(names.values):
+                    continue
+                inside = ((masks[:, None] >> np.arange(blocks)) & 1).astype(float)
+                total, square = (x.values.to_numpy().reshape(-1, blocks).T for x in (s, q))
+
+                def result(half: np.ndarray, total=total, square=square) -> np.ndarray:
+                    t = half @ total
+                    if stat == "mean":
+                        return t / k
+                    var = (half @ square - t * t / k) / (k - 1)
+                    return t / k / np.sqrt(np.maximum(var, 1e-300))
+
+                first, second = result(inside), result(1 - inside)
+                best = np.round(first, 12).argmax(1)                     # of equal trials the first by name
+                rows = np.arange(len(masks))
+                mine = second[rows, best]
+                rank = (np.round(second, 12) < np.round(mine, 12)[:, None]).sum(1) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(masks), names.values.take(pa.array(best)), pa.array(first[rows, best]), pa.array(mine), pa.array(rank.astype(np.int32)),
+                                                  pa.array(np.full(len(masks), second.shape[1], np.int32)), pa.array(list(second), pa.list_(pa.float64()))],
+                                                 ["combo", "trial", "is_best", "oos_best", "rank", "n_trials", "oos_all"])
+
+    ranges = skill.sparkSession.range(0, 1 << blocks, step).withColumnRenamed("id", "low").repartition(min(64, 2 * skill.sparkSession.sparkContext.defaultParallelism))
+    kind = dict(skill.dtypes)[trial]
+    out = ranges.join(matrix).mapInArrow(evaluate, f"combo bigint, trial {kind}, is_best double, oos_best double, rank int, n_trials int, oos_all array<double>")
     omega = F.col("rank") / (F.col("n_trials") + 1)
     return out.withColumn("logit", F.ln(omega / (F.lit(1.0) - omega)))
 
 
 def pbo(skill: DataFrame, blocks: int = 16, stat: str = "mean", **kw) -> DataFrame:
     """Probability of backtest overfitting and its companions, one row."""
-    t = cscv_table(skill, blocks, stat=stat, **kw)
+    t = cut_lineage(cscv_table(skill, blocks, stat=stat, **kw))
     grid = [0.05 * i for i in range(1, 20)]
     probs = F.array(*[F.lit(g) for g in grid])
     head = t.agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.median("logit").alias("logit_median"),
@@ -146,14 +163,14 @@ def spa_test(skill: DataFrame, draws: int = 2000, mean_block: float = 10.0, seed
              value: str = "value", uniform: Uniform | None = None) -> DataFrame:
     """Superior predictive ability (three recentrings) and reality check, one row.
 
-    Each draw is a table of observation weights; the bootstrap mean of every trial is one join and one aggregate.
+    A block of draws is an array of observation counts; the bootstrap means of all trials over it are one matrix product.
     """
     spark = skill.sparkSession
     pos = position_index(skill, day, "t")
     n = pos.count()
     rows = skill.join(pos, day).select("t", trial, value)
-    weights = resample_weights(stationary_indices(spark, n, draws, mean_block, seed=seed, uniform=uniform))
-    boot = weights.join(rows, weights.idx == rows.t).groupBy("b", trial).agg((F.sum(F.col("w") * F.col(value)) / n).alias("_bm"))
+    counts = drawn_counts(spark, n, draws, mean_block, seed=seed, uniform=uniform)
+    boot = cut_lineage(resampled_sums(rows, [trial], "t", [value], counts, n).select("b", trial, (F.col(value) / n).alias("_bm")))
     obs = rows.groupBy(trial).agg(F.avg(value).alias("_d"))
     spread = boot.groupBy(trial).agg(F.sqrt(F.lit(float(n)) * F.var_pop("_bm")).alias("_w"))
     root = math.sqrt(n)

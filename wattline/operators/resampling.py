@@ -1,12 +1,15 @@
 """Bootstrap and permutation designs as tables.
 
-Every random number is a hash of (seed, draw, position), so a lost task recomputes the same rows.
+Every random number is a hash of (seed, draw, position), so a lost task recomputes the same rows.  A resampled sum only depends on how often each
+observation is drawn, so a block of draws is one array of such counts, and the sums of all series over a block are one matrix product.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +45,67 @@ def resample_weights(indices: DataFrame) -> DataFrame:
     return indices.groupBy("b", "idx").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
+def drawn_counts(spark: SparkSession, n_obs: int, draws: int, mean_block: float, length: int | None = None, seed: int = 0, uniform: Uniform | None = None, block: int = 64) -> DataFrame:
+    """(first, counts): for each block of draws, the first draw and how often it draws each observation, as 16-bit counts laid draw by draw.
+
+    The draws are those of `stationary_indices`."""
+    u = uniform or (lambda b, t, s: hash_uniform(b, t, F.lit(s), seed=seed))
+    length = length or n_obs
+    if length >= 1 << 16:
+        raise ValueError("a resample is shorter than 65,536 observations")
+    blocks = spark.range(0, -(-draws // block), 1).repartition(min(-(-draws // block), 2 * spark.sparkContext.defaultParallelism))
+    b = F.sequence(F.col("id") * block + 1, F.least(F.col("id") * block + block, F.lit(draws)))
+    t = F.sequence(F.lit(0), F.lit(length - 1))
+    laid = lambda s: F.flatten(F.transform(b, lambda i: F.transform(t, lambda j: u(i, j, s).cast("double"))))                        # noqa: E731
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = np.arange(length)
+        for batch in it:
+            out = []
+            for one, two in zip(batch.column("u1"), batch.column("u2"), strict=True):
+                fresh, start = (x.values.to_numpy().reshape(-1, length) for x in (one, two))
+                at = np.maximum.accumulate(np.where((fresh < 1.0 / mean_block) | (t == 0), t, 0), axis=1)
+                start = np.floor(start * n_obs).astype(np.int64)
+                idx = (np.take_along_axis(start, at, 1) + t - at) % n_obs
+                rows = np.arange(len(idx))[:, None] * n_obs
+                out.append(np.bincount((idx + rows).ravel(), minlength=len(idx) * n_obs).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("first"), pa.array(out, pa.binary())], ["first", "counts"])
+
+    return blocks.select((F.col("id") * block + 1).alias("first"), laid(1).alias("u1"), laid(2).alias("u2")).mapInArrow(count, "first bigint, counts binary")
+
+
+def resampled_sums(rows: DataFrame, by: list[str], t: str, values: list[str], counts: DataFrame, n_obs: int, packs: int = 16) -> DataFrame:
+    """(by, b, _n, values): for each series and draw the number of drawn observations that the series has, and the drawn sums of each value.
+
+    Series are laid side by side in at most `packs` arrays (calendar by series), which meet the blocks of draws; no row is made for an observation of a draw."""
+    key = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("_0"))
+    series = rows.groupBy(key.alias("_key")).agg(F.collect_list(F.struct(F.col(t).cast("int").alias("t"), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])).alias("_x"))
+    pack = series.groupBy(F.pmod(F.xxhash64("_key"), F.lit(packs)).alias("_pack")).agg(F.collect_list(F.struct("_key", "_x")).alias("_all"))
+    pack = pack.select(F.transform("_all", lambda s: s["_key"]).alias("keys"), F.transform("_all", lambda s: s["_x"]).alias("x"))
+
+    def product(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for first, counts, keys, x in zip(batch.column("first").to_pylist(), batch.column("counts").to_pylist(), batch.column("keys"), batch.column("x"), strict=True):
+                w = np.frombuffer(counts, np.uint16).reshape(-1, n_obs).astype(float)
+                lists = x.values
+                size = np.diff(lists.offsets.to_numpy())
+                flat = lists.flatten()
+                at, who = flat.field("t").to_numpy(), np.repeat(np.arange(len(size)), size)
+                out = []
+                for v in [None, *range(len(values))]:
+                    m = np.zeros((n_obs, len(size)))
+                    m[at, who] = 1.0 if v is None else flat.field(f"v{v}").to_numpy(zero_copy_only=False)
+                    out.append((w @ m).ravel())
+                which = np.tile(np.arange(len(size)), len(w))
+                draw = np.repeat(np.arange(len(w)) + first, len(size))
+                yield pa.RecordBatch.from_arrays([keys.values.take(pa.array(which)), pa.array(draw), *map(pa.array, out)], ["_key", "b", "_n", *[f"v{i}" for i in range(len(values))]])
+
+    joined = counts.join(pack)                               # blocks of draws by packs of series: both sides are few rows
+    kind = series.schema["_key"].dataType.simpleString()
+    made = joined.mapInArrow(product, f"_key {kind}, b bigint, _n double, " + ", ".join(f"v{i} double" for i in range(len(values))))
+    return made.select(*[F.col(f"_key.{c}").alias(c) for c in by], "b", "_n", *[F.col(f"v{i}").alias(v) for i, v in enumerate(values)])
+
+
 def position_index(days: DataFrame, day: str, out: str = "t") -> DataFrame:
     """Distinct days numbered from 0 (a calendar-sized table)."""
     return days.select(day).distinct().withColumn(out, F.row_number().over(Window.orderBy(day)) - 1)
@@ -60,12 +124,12 @@ def bootstrap_mean_p(series: DataFrame, by: list[str], day: str, value: str, dra
     n = pos.count()
     obs = s.groupBy(*by).agg(F.avg("_x").alias("_m"), F.stddev_samp("_x").alias("_sd"), F.count("_x").alias("n_days"))
     obs = obs.withColumn("t_stat", studentised(F.col("_m"), F.col("_sd"), F.col("n_days")))
-    weights = resample_weights(stationary_indices(spark, n, draws, mean_block, seed=seed, uniform=uniform))
     rows = s.join(pos, day).join(obs, by) if by else s.join(pos, day).join(obs)
     z = F.col("_x") - F.col("_m")
-    sums = weights.join(rows, weights.idx == rows.t).groupBy(*by, "b").agg(
-        F.sum("w").alias("_n"), F.sum(F.col("w") * z).alias("_s1"), F.sum(F.col("w") * z * z).alias("_s2"),
-        F.first("t_stat").alias("t_stat"), F.first("n_days").alias("n_days"), F.first("_m").alias("mean"))
+    counts = drawn_counts(spark, n, draws, mean_block, seed=seed, uniform=uniform)
+    sums = resampled_sums(rows.select(*by, "t", z.alias("_s1"), (z * z).alias("_s2")), by, "t", ["_s1", "_s2"], counts, n).where("_n > 0")
+    seen = obs.select(*by, "t_stat", "n_days", F.col("_m").alias("mean"))
+    sums = sums.join(seen, by) if by else sums.join(seen)
     mean = F.col("_s1") / F.col("_n")
     sd = F.sqrt(F.greatest((F.col("_s2") - F.col("_n") * mean * mean) / (F.col("_n") - 1), F.lit(0.0)))
     sims = sums.withColumn("_t", studentised(mean, sd, F.col("_n")))
@@ -81,16 +145,15 @@ def power_curve(series: DataFrame, day: str, value: str, lengths: list[int], sim
     pos = position_index(s, day)
     n = pos.count()
     rows = s.join(pos, day)
-    centre = rows.agg(F.avg("_x").alias("_m"))
-    parts = None
+    rows = rows.join(rows.agg(F.avg("_x").alias("_m")))
+    g = None
     for length in lengths:
         for kind, off in (("null", 0), ("alt", 1)):
-            w = resample_weights(stationary_indices(spark, n, sims, mean_block, length=length, seed=seed + 7919 * length + off))
-            part = w.select(F.lit(length).alias("n_days"), F.lit(kind).alias("kind"), "b", "idx", "w")
-            parts = part if parts is None else parts.unionByName(part)
-    x = F.col("_x") - F.when(F.col("kind") == "null", F.col("_m")).otherwise(F.lit(0.0))
-    g = parts.join(rows, parts.idx == rows.t).join(centre).groupBy("n_days", "kind", "b").agg(
-        F.sum(F.col("w") * x).alias("_s1"), F.sum(F.col("w") * x * x).alias("_s2"))
+            x = F.col("_x") - (F.col("_m") if kind == "null" else F.lit(0.0))
+            counts = drawn_counts(spark, n, sims, mean_block, length=length, seed=seed + 7919 * length + off)
+            part = resampled_sums(rows.select("t", x.alias("_s1"), (x * x).alias("_s2")), [], "t", ["_s1", "_s2"], counts, n)
+            part = part.select(F.lit(length).alias("n_days"), F.lit(kind).alias("kind"), "b", "_s1", "_s2")
+            g = part if g is None else g.unionByName(part)
     m = F.col("_s1") / F.col("n_days")
     sd = F.sqrt(F.greatest((F.col("_s2") - F.col("n_days") * m * m) / (F.col("n_days") - 1), F.lit(0.0)))
     g = g.withColumn("_t", studentised(m, sd, F.col("n_days")))
