@@ -58,10 +58,11 @@ best AS (SELECT combo, trial, i, o FROM (SELECT *, row_number() OVER (PARTITION
 ranked AS (SELECT b.combo, b.trial, b.i, b.o, 1 + count(*) FILTER (r.o < b.o) AS rank, count(*) AS nt FROM best b JOIN r USING (combo) GROUP BY ALL)"""
 
 
-@check("cscv_splits", f"WITH {CSCV_SQL} SELECT combo, trial, round(i, 9) AS is_best, round(o, 9) AS oos_best, CAST(rank AS INTEGER) AS rank, round(ln((rank / (nt + 1)) / (1 - rank / (nt + 1))), 6) AS logit FROM ranked")
+@check("cscv_splits", f"WITH {CSCV_SQL} SELECT combo, trial, round(i + 1e-12, 9) AS is_best, round(o + 1e-12, 9) AS oos_best, CAST(rank AS INTEGER) AS rank, round(ln((rank / (nt + 1)) / (1 - rank / (nt + 1))), 6) AS logit FROM ranked")
 def cscv_splits(t: Tables):
     c = O.cscv_table(skill(t)).drop("oos_all", "n_trials")
-    return rounded(c.withColumn("logit", F.round("logit", 6)), 9)
+    c = c.withColumns({"logit": F.round("logit", 6), "is_best": F.col("is_best") + 1e-12, "oos_best": F.col("oos_best") + 1e-12})      # exact ties at the last digit go up in both engines
+    return rounded(c, 9)
 
 
 @check("backtest_overfitting", f"""WITH {CSCV_SQL}, l AS (SELECT *, ln((rank / (nt + 1)) / (1 - rank / (nt + 1))) AS logit FROM ranked)
