@@ -72,8 +72,3 @@ def run(registry: Registry, model: Model, panel: DataFrame, folds: list[Fold], r
     return run_id
 
 
-def extend_with_holdout(validation: list[Fold], holdout: list[Fold]) -> list[Fold]:
-    """The same jobs over validation and holdout months: history of the later folds includes the earlier ones' errors."""
-    return [*validation, *holdout]
-
-

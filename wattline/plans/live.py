@@ -12,7 +12,7 @@ from wattline.operators.reshape import targets_long
 from wattline.plans.backtest import Model
 from wattline.plans.folds import Fold, month_fold, next_month
 from wattline.plans.postprocess import add_history_days
-from wattline.plans.presets import SIGNAL, resolve
+from wattline.plans.recipes import SIGNAL, SIGNAL_RECIPE, Recipe, Source
 from wattline.plans.registry import Registry
 from wattline.settings import PRED_KEYS, QCOLS
 
@@ -35,12 +35,12 @@ def base_forecast(model: Model, panel: DataFrame, day: date) -> DataFrame:
     return model.fit_predict(known, [only]).filter(F.col("delivery_date") == F.lit(day)).select(*PRED_KEYS, "mean")
 
 
-def day_forecast(base_history: dict[str, DataFrame], base_today: dict[str, DataFrame], panel: DataFrame, day: date, signal: str = SIGNAL) -> DataFrame:
+def day_forecast(base_history: dict[str, DataFrame], base_today: dict[str, DataFrame], panel: DataFrame, day: date, signal: str = SIGNAL, recipe: Recipe = SIGNAL_RECIPE) -> DataFrame:
     """Signal rows of `day`: stored history and earlier live days plus today's base forecasts, through the recipe."""
     since = day - timedelta(days=HISTORY_DAYS)
     outcomes = targets_long(panel)
     base = {n: add_history_days(h.filter(F.col("delivery_date") >= F.lit(since)), base_today[n], outcomes) for n, h in base_history.items()}
-    rows = resolve(signal, base, panel, folds_between(since, day))
+    rows = recipe.frame(Source(base, panel, folds_between(since, day)))
     out = rows.filter(F.col("delivery_date") == F.lit(day)).select(*PRED_KEYS, "mean", *QCOLS)
     return out.withColumns({"issue_utc": issue_time(F.col("delivery_date")), "signal": F.lit(signal)})
 
