@@ -12,7 +12,7 @@ from wattline.operators.resampling import bootstrap_mean_p, cluster_bootstrap, s
 from wattline.operators.significance import clustered_slope, diebold_mariano, kupiec
 from wattline.plans import folds as fd
 from wattline.plans import postprocess as P
-from wattline.plans.registry import Registry
+from wattline.plans.registry import EXPLORATORY, Event, Registry, Table
 from wattline.settings import QCOLS, QUANTILES
 
 D0 = date(2022, 1, 1)
@@ -181,19 +181,34 @@ def test_spike_mixture_limits(spark):
 def test_registry_round_trip(spark, tmp_path):
     r = Registry(spark, str(tmp_path / "reg"))
     panel = predictions(spark, 5)
-    a = r.start_run("m", {"k": 1}, panel, now=datetime(2025, 1, 1))
-    b = r.start_run("m", {"k": 2}, panel.withColumn("mean", F.col("mean") + 1), now=datetime(2025, 1, 2))
-    assert r.latest_runs().count() == 0
-    r.finish_run(a)
-    r.finish_run(b)
-    r.log_exploration("m", {"k": 3}, "note")
+    with r.running("m", {"k": 1}, panel) as a, r.running("m", {"k": 2}, panel.withColumn("mean", F.col("mean") + 1)) as b:
+        assert r.latest_runs().count() == 0
+    r.record(Event.of("m", {"k": 3}, EXPLORATORY, error="note"))
+    with pytest.raises(ZeroDivisionError), r.running("m", {"k": 1}) as c:
+        1 / 0                                                   # noqa: B018
+    assert r.runs().filter(F.col("run_id") == c).first()["error"] == "ZeroDivisionError: division by zero"
     assert r.latest_runs().first()["run_id"] == b and r.configs_tried().first()[0] == 3
-    assert [x["column"] for x in r.panel_diff(a, b).collect()] == ["mean"] and r.load_snapshot(a).count() == 10
+    assert [x["column"] for x in r.panel_diff(a, b).collect()] == ["mean"] and r.panel_of(a).count() == 10
     r.save_predictions(a, panel.withColumn("fold", F.lit("2022-01")))
     r.save_predictions(b, panel.withColumn("fold", F.lit("2022-01")).drop("ref_mean"))
     r.save_predictions(a, panel.limit(4).withColumn("fold", F.lit("2022-01")))
     assert r.predictions(a).count() == 4 and r.predictions(a, b).count() == 14
     live = panel.select(F.lit("s").alias("signal"), "delivery_date", "zone", "mean")
-    r.upsert_days("f", live)
-    r.upsert_days("f", live.filter(F.col("delivery_date") == F.lit(D0)).withColumn("mean", F.lit(-1.0)))
+    r.replace_days("f", live)
+    r.replace_days("f", live.filter(F.col("delivery_date") == F.lit(D0)).withColumn("mean", F.lit(-1.0)))
     assert r.live("f").count() == 10 and r.live("f").filter("mean = -1").count() == 2
+
+
+def test_slots_are_replaced_whole(spark, tmp_path):
+    """Readers go by the manifest: a write that died halfway is not seen, and of two writes of one slot only the later one is."""
+    t = Table(spark, str(tmp_path / "t"), ("run", "fold"))
+    rows = lambda run, fold, n, v: spark.range(n).select(F.lit(run).alias("run"), F.lit(fold).alias("fold"), F.col("id"), F.lit(v).alias("v"))      # noqa: E731
+    t.write(rows("a", "x", 3, 1).unionByName(rows("a", "y", 2, 1)))
+    rows("a", "x", 9, 7).write.partitionBy("run", "fold").parquet(str(tmp_path / "t/rows/generation=99991231T000000000000-dead"))     # its job never got to the manifest
+    seen = lambda: sorted((r["run"], r["fold"], r["v"]) for r in t.read().collect())            # noqa: E731
+    assert seen() == [("a", "x", 1)] * 3 + [("a", "y", 1)] * 2
+    t.write(rows("a", "y", 1, 2).withColumn("more", F.lit("new column")))
+    t.write(rows("b", "x", 1, 3))
+    assert seen() == [("a", "x", 1)] * 3 + [("a", "y", 2), ("b", "x", 3)]
+    assert t.read(F.col("run") == "a").count() == 4 and {r["more"] for r in t.read().collect()} == {None, "new column"}
+    assert t.sweep() == 1 and seen() == [("a", "x", 1)] * 3 + [("a", "y", 2), ("b", "x", 3)]

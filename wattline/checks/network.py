@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wattline.checks.base import BOOK_SQL, FOLDS_SQL, Tables, check, rounded
@@ -10,9 +12,10 @@ from wattline.operators.audit import checksum_diff, column_checksums
 from wattline.operators.sparse import cobinding, gram, key_drift, matrix_drift, ridge_factors, subspace_drift, top_keys
 from wattline.plans.folds import assign_test_fold
 from wattline.plans.nodes import node_coefficients, node_forecast
-from wattline.plans.registry import latest_per_model, latest_state
+from wattline.plans.registry import Registry, latest_per_model, latest_state
 from wattline.plans.structure import constraint_catalogue
 from wattline.plans.views import signal_constraints, signal_cobinding
+from wattline.session import checkpoint_dir
 
 K = 12
 # constraint = supplier, slot = ship day, shadow price = daily quantity; market by order priority group
@@ -189,6 +192,20 @@ def run_states(t: Tables):
     return latest_per_model(latest_state(e.withColumn("created_utc", F.col("event_utc"))).filter("status = 'done'"))
 
 
+@check("registry_slots", f"""WITH {BOOK_SQL} SELECT 'run' || (year(d) % 2) AS run_id, strftime(d, '%Y-%m') AS fold, count(*) AS n, round(sum(CASE WHEN month(d) <= 3 THEN rt ELSE da END), 4) AS total FROM book
+GROUP BY 1, 2 UNION ALL SELECT 'run2', strftime(d, '%Y-%m'), count(*), round(sum(rt), 4) FROM book WHERE year(d) = 1996 GROUP BY 2""")
+def registry_slots(t: Tables):
+    """Two runs' predictions by month, the first quarters written again with other values, and a third run without one column: what readers see."""
+    reg = Registry(t.spark, f"{checkpoint_dir(t.spark)}/registry-{uuid.uuid4().hex}")
+    b = t.book().select(F.concat(F.lit("run"), F.year("d") % 2).alias("run"), F.date_format("d", "yyyy-MM").alias("fold"), F.month("d").alias("m"), "zone", "da", "rt")
+    for run in ("run0", "run1"):
+        own = b.where(F.col("run") == run).drop("run")
+        reg.save_predictions(run, own.select("fold", "zone", F.col("da").alias("mean")))
+        reg.save_predictions(run, own.where("m <= 3").select("fold", "zone", F.col("rt").alias("mean")))
+    reg.save_predictions("run2", t.book().where("year(d) = 1996").select(F.date_format("d", "yyyy-MM").alias("fold"), F.col("rt").alias("mean")))
+    return rounded(reg.predictions("run0", "run1", "run2").groupBy("run_id", "fold").agg(F.count("*").alias("n"), F.sum("mean").alias("total")), 4)
+
+
 @check("distinct_configurations", "SELECT count(DISTINCT o_orderpriority || o_orderstatus) AS configs FROM orders")
 def configurations(t: Tables):
     return t.orders.agg(F.count_distinct(F.concat("o_orderpriority", "o_orderstatus")).alias("configs"))

@@ -60,15 +60,10 @@ def pooled_summary(pred: DataFrame, by: list[str]) -> DataFrame:
 def run(registry: Registry, model: Model, panel: DataFrame, folds: list[Fold], reference: DataFrame | None = None, quantiles: str = "model") -> str:
     """Logged run.  The predictions are checkpointed once, so scoring and storing do not refit."""
     config = {**model.config(), "folds": len(folds), "embargo_days": EMBARGO_DAYS, "quantiles": quantiles, "first_fold": folds[0].name, "last_fold": folds[-1].name}
-    run_id = registry.start_run(model.name, config, panel, panel_rows=panel.count())
-    try:
+    with registry.running(model.name, config, panel, panel.count()) as run_id:
         pred = cut_lineage(run_folds(model, panel, folds, reference, quantiles))
         registry.save_predictions(run_id, pred)
         registry.save_scores(run_id, fold_scores(pred))
-        registry.finish_run(run_id)
-    except Exception as e:
-        registry.finish_run(run_id, "failed", f"{type(e).__name__}: {e}")
-        raise
     return run_id
 
 

@@ -46,7 +46,7 @@ def day_forecast(base_history: dict[str, DataFrame], base_today: dict[str, DataF
 
 
 def publish(registry: Registry, table: str, rows: DataFrame, now: datetime | None = None, keys: tuple = ("signal", "delivery_date")) -> None:
-    registry.upsert_days(table, rows.withColumn("created_utc", F.lit(now or datetime.now(UTC))), keys)
+    registry.replace_days(table, rows.withColumn("created_utc", F.lit(now or datetime.now(UTC))), keys)
 
 
 def spike_today(model, panel: DataFrame, day: date) -> DataFrame:

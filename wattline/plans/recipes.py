@@ -168,18 +168,13 @@ def run_recipe(registry: Registry, name: str, recipe: Recipe, source: Source) ->
     """Logged run of a recipe: its predictions, the scores of each fold, the weights of its combinations, and the run row with the recipe as data."""
     folds = source.folds
     config = {"recipe": recipe.description(), "parents": recipe.names(), "folds": len(folds), "first_fold": folds[0].name, "last_fold": folds[-1].name}
-    run_id = registry.start_run(name, config)
-    try:
+    with registry.running(name, config) as run_id:
         pred = P.assign_test_fold(cut_lineage(recipe.frame(source)).drop("fold"), folds).drop("train_end")
         pred = cut_lineage(pred)
         registry.save_predictions(run_id, pred)
         registry.save_scores(run_id, fold_scores(pred))
         for i, part in enumerate(p for p in walk(recipe) if isinstance(p, Combined) and p.weights == "inv_mae"):
             registry.save_artifact(run_id, f"weights_{i}", part.fold_weights(source))
-        registry.finish_run(run_id)
-    except Exception as e:
-        registry.finish_run(run_id, "failed", f"{type(e).__name__}: {e}")
-        raise
     return run_id
 
 

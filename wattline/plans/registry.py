@@ -1,10 +1,19 @@
-"""Run registry on Parquet: append-only run events, scores, predictions and artifacts by run and fold, live tables by day."""
+"""Run registry on Parquet: what happened to runs as an append-only log of events, and tables whose slots are replaced whole.
+
+A table (predictions, scores, artifacts, live days) is a folder of generations, each written once and never changed, and a manifest that names the
+current generation of each slot (a run's fold, a run, a signal's day).  A write puts its rows into a new generation and, when all of them are there, adds the
+slots to the manifest in one small file.  Readers go by the manifest, so they see a slot before or after a write and never a mixture; a job that is
+retried or runs twice leaves an unused generation behind, which `sweep` removes.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import astuple, dataclass, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,105 +22,162 @@ from pyspark.sql import functions as F
 from wattline.operators.audit import checksum_diff, column_checksums, content_hash
 from wattline.operators.scoring import melt_scores
 
-EVENT_SCHEMA = ("run_id string, model string, config_json string, config_hash string, panel_rows bigint, created_utc timestamp, event_utc timestamp, "
-                "status string, error string, panel_hash string")
+EVENTS = ("run_id string, model string, config_json string, config_hash string, panel_rows bigint, created_utc timestamp, event_utc timestamp, "
+          "status string, error string, panel_hash string")
+RUNNING, DONE, FAILED, EXPLORATORY = "running", "done", "failed", "exploratory"
 
 
-def config_hash(config: dict) -> str:
-    return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
+@dataclass(frozen=True)
+class Event:
+    """One line of a run's log; a run is what its latest line says."""
 
+    run_id: str
+    model: str
+    config_json: str
+    config_hash: str
+    panel_rows: int | None
+    created_utc: datetime
+    event_utc: datetime
+    status: str
+    error: str | None = None
+    panel_hash: str | None = None
 
-class Registry:
-    """Folder layout: run_events/, scores/, predictions/run_id=/fold=/, artifacts/<name>/run_id=/fold=/, snapshots/, live/<name>/.
+    @classmethod
+    def of(cls, model: str, config: dict, status: str, at: datetime | None = None, **more) -> Event:
+        """The first line of a new run."""
+        at = at or datetime.now(UTC)
+        digest = hashlib.sha256(json.dumps({"model": model, **config}, sort_keys=True, default=str).encode()).hexdigest()
+        return cls(f"{model}-{at:%Y%m%dT%H%M%S%f}-{digest}-{uuid.uuid4().hex}", model, json.dumps(config, sort_keys=True, default=str), digest, more.pop("panel_rows", None), at, at, status, **more)
+
+    def then(self, status: str, error: str | None = None, at: datetime | None = None) -> Event:
+        return replace(self, event_utc=at or datetime.now(UTC), status=status, error=error)
+
+
+class Table:
+    """A table of slots, replaced whole; `slots` are the columns that name one."""
+
+    def __init__(self, spark: SparkSession, root: str, slots: tuple[str, ...]):
+        self.spark, self.root, self.slots = spark, root, slots
+
+    def _exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    Writes only append or replace whole partitions, so a retried job leaves the same files.
-    """
+    def write(self, df: DataFrame) -> str:
+        """Replace the slots that df has; returns the generation."""
+        generation = f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex}"
+        path = f"{self.root}/rows/generation={generation}"
+        df.write.partitionBy(*self.slots).parquet(path)
+        named = self.spark.read.parquet(path).select(*[F.col(c).cast("string").alias(c) for c in self.slots]).distinct()
+        named.withColumn("generation", F.lit(generation)).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        return generation
+
+    def current(self) -> DataFrame:
+        """(slots as text, generation): the manifest's latest word on each slot.  Generations sort by time."""
+        return self.spark.read.parquet(f"{self.root}/manifest").groupBy(*self.slots).agg(F.max("generation").alias("generation"))
+
+    def read(self, *only) -> DataFrame:
+        """Current rows; columns that a generation lacks are NULL.  `only`: conditions on the slot columns, which prune folders."""
+        rows = self.spark.read.option("mergeSchema", True).option("basePath", f"{self.root}/rows").parquet(f"{self.root}/rows")
+        for condition in only:
+            rows = rows.where(condition)
+        now = self.current().select("generation", *[F.col(c).alias(f"_{c}") for c in self.slots])
+        same = rows["generation"] == now["generation"]
+        for c in self.slots:
+            same = same & F.col(c).cast("string").eqNullSafe(F.col(f"_{c}"))
+        return rows.join(now, same, "left_semi").drop("generation")
+
+    def sweep(self) -> int:
+        """Delete the generations that no slot needs; for times when nobody writes or reads."""
+        used = {r[0] for r in self.current().select("generation").distinct().collect()}
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        store = fs_path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = [f.getPath() for f in store.listStatus(fs_path(f"{self.root}/rows")) if f.getPath().getName().removeprefix("generation=") not in used]
+        for path in old:
+            store.delete(path, True)
+        return len(old)
+
+
+class Registry:
+    """Folder layout: events/, predictions/, scores/, artifacts/<name>/, live/<name>/ as tables of slots, panels/<hash>/."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def table(self, name: str, *slots: str) -> Table:
+        return Table(self.spark, f"{self.root}/{name}", slots)
+
     # ---------------------------------------------------------------- runs
 
-    def _event(self, **row) -> None:
-        names = [f.split()[0] for f in EVENT_SCHEMA.split(", ")]
-        self.spark.createDataFrame([tuple(row.get(n) for n in names)], EVENT_SCHEMA).write.mode("append").parquet(f"{self.root}/run_events")
-
-    def start_run(self, model: str, config: dict, panel: DataFrame | None = None, now: datetime | None = None, panel_rows: int | None = None) -> str:
-        now = now or datetime.now(UTC)
-        h = config_hash({"model": model, **config})
-        run_id = f"{model}-{now:%Y%m%dT%H%M%S%f}-{h}-{uuid.uuid4().hex}"
-        snap = self.snapshot_panel(panel) if panel is not None else None
-        self._event(run_id=run_id, model=model, config_json=json.dumps(config, sort_keys=True, default=str), config_hash=h, panel_rows=panel_rows,
-                    created_utc=now, event_utc=now, status="running", panel_hash=snap)
-        return run_id
-
-    def finish_run(self, run_id: str, status: str = "done", error: str | None = None, now: datetime | None = None) -> None:
-        r = self.runs().filter(F.col("run_id") == run_id).first()
-        self._event(**{**r.asDict(), "event_utc": now or datetime.now(UTC), "status": status, "error": error})
-
-    def log_exploration(self, model: str, config: dict, note: str, now: datetime | None = None) -> str:
-        """A configuration tried informally: it counts as a trial."""
-        now = now or datetime.now(UTC)
-        h = config_hash({"model": model, **config})
-        run_id = f"{model}-explore-{now:%Y%m%dT%H%M%S%f}-{h}-{uuid.uuid4().hex}"
-        self._event(run_id=run_id, model=model, config_json=json.dumps(config, sort_keys=True, default=str), config_hash=h, panel_rows=0, created_utc=now,
-                    event_utc=now, status="exploratory", error=note)
-        return run_id
+    def record(self, event: Event) -> Event:
+        """The only way into the log."""
+        self.spark.createDataFrame([astuple(event)], EVENTS).write.mode("append").parquet(f"{self.root}/events")
+        return event
+
+    @contextmanager
+    def running(self, model: str, config: dict, panel: DataFrame | None = None, panel_rows: int | None = None) -> Iterator[str]:
+        """A run while it goes on: its id inside, done or failed after."""
+        event = self.record(Event.of(model, config, RUNNING, panel_rows=panel_rows, panel_hash=self.keep_panel(panel) if panel is not None else None))
+        try:
+            yield event.run_id
+        except Exception as e:
+            self.record(event.then(FAILED, f"{type(e).__name__}: {e}"))
+            raise
+        self.record(event.then(DONE))
 
     def runs(self) -> DataFrame:
         """Latest state of every run."""
-        return latest_state(self.spark.read.schema(EVENT_SCHEMA).parquet(f"{self.root}/run_events"))
+        return latest_state(self.spark.read.schema(EVENTS).parquet(f"{self.root}/events"))
 
     def latest_runs(self, models: list[str] | None = None) -> DataFrame:
-        done = self.runs().filter("status = 'done'")
+        done = self.runs().filter(F.col("status") == DONE)
         done = done if models is None else done.filter(F.col("model").isin(models))
         return latest_per_model(done)
 
     def configs_tried(self) -> DataFrame:
+        """Different configurations in the log; one tried informally (an event of status `exploratory`) counts too."""
         return self.runs().agg(F.count_distinct("config_hash").alias("configs"))
 
-    # ---------------------------------------------------------------- fold outputs
-
-    def _replace(self, df: DataFrame, path: str, keys: list[str]) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    # ---------------------------------------------------------------- outputs of runs
 
     def save_predictions(self, run_id: str, pred: DataFrame) -> None:
         """All folds of a run in one job; `fold` is a column of `pred`."""
-        self._replace(pred.withColumn("run_id", F.lit(run_id)), f"{self.root}/predictions", ["run_id", "fold"])
+        self.table("predictions", "run_id", "fold").write(pred.withColumn("run_id", F.lit(run_id)))
 
     def save_scores(self, run_id: str, scores: DataFrame, ids: tuple = ("fold", "market", "component", "zone")) -> None:
-        self._replace(melt_scores(scores, list(ids)).withColumn("run_id", F.lit(run_id)), f"{self.root}/scores", ["run_id"])
+        self.table("scores", "run_id").write(melt_scores(scores, list(ids)).withColumn("run_id", F.lit(run_id)))
 
     def save_artifact(self, run_id: str, name: str, df: DataFrame) -> None:
-        self._replace(df.withColumn("run_id", F.lit(run_id)), f"{self.root}/artifacts/{name}", ["run_id", "fold"])
+        self.table(f"artifacts/{name}", "run_id", "fold").write(df.withColumn("run_id", F.lit(run_id)))
 
     def predictions(self, *run_ids: str) -> DataFrame:
-        """One or more runs; the run filter prunes folders.  Columns absent from a run are NULL."""
-        return self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/predictions").filter(F.col("run_id").isin(list(run_ids)))
+        """One or more runs; the run filter prunes folders."""
+        return self.table("predictions", "run_id", "fold").read(F.col("run_id").isin(list(run_ids)))
 
     def scores(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/scores")
+        return self.table("scores", "run_id").read()
 
     def artifact(self, run_id: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/artifacts/{name}").filter(F.col("run_id") == run_id).drop("run_id")
+        return self.table(f"artifacts/{name}", "run_id", "fold").read(F.col("run_id") == run_id).drop("run_id")
 
-    # ---------------------------------------------------------------- panel snapshots
+    # ---------------------------------------------------------------- panels
 
-    def snapshot_panel(self, panel: DataFrame, keys: tuple = ("ts_utc", "zone")) -> str:
+    def keep_panel(self, panel: DataFrame, keys: tuple = ("ts_utc", "zone")) -> str:
         """Store the panel once per content and return its hash."""
         sums = column_checksums(panel, list(keys)).persist()
         h = content_hash(sums).first()["content_hash"]
-        if not self._exists(f"snapshots/{h}/columns"):
-            panel.write.mode("overwrite").parquet(f"{self.root}/snapshots/{h}/panel")
-            sums.write.mode("overwrite").parquet(f"{self.root}/snapshots/{h}/columns")
+        own = self.table(f"panels/{h}", "part")
+        if not own._exists():
+            own.write(panel.withColumn("part", F.lit("panel")))
+            self.table(f"panels/{h}/columns", "part").write(sums.withColumn("part", F.lit("columns")))
         sums.unpersist()
         return h
 
-    def load_snapshot(self, run_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/snapshots/{self._panel_hash(run_id)}/panel")
+    def panel_of(self, run_id: str) -> DataFrame:
+        return self.table(f"panels/{self._panel_hash(run_id)}", "part").read().drop("part")
 
     def panel_diff(self, run_a: str, run_b: str) -> DataFrame:
-        a, b = (self.spark.read.parquet(f"{self.root}/snapshots/{self._panel_hash(r)}/columns") for r in (run_a, run_b))
+        a, b = (self.table(f"panels/{self._panel_hash(r)}/columns", "part").read().drop("part") for r in (run_a, run_b))
         return checksum_diff(a, b)
 
     def _panel_hash(self, run_id: str) -> str:
@@ -120,25 +186,22 @@ class Registry:
             raise ValueError(f"{run_id} has no panel snapshot")
         return r[0]
 
-    def _exists(self, rel: str) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{rel}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
     # ---------------------------------------------------------------- live tables
 
-    def upsert_days(self, table: str, df: DataFrame, keys: tuple = ("signal", "delivery_date")) -> None:
-        """Replace the (signal, day) partitions present in `df`; other days stay."""
-        self._replace(df, f"{self.root}/live/{table}", list(keys))
+    def replace_days(self, table: str, df: DataFrame, keys: tuple = ("signal", "delivery_date")) -> None:
+        """Replace the (signal, day) slots present in `df`; other days stay."""
+        self.table(f"live/{table}", *keys).write(df)
 
-    def live(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/live/{table}")
+    def live(self, table: str, keys: tuple = ("signal", "delivery_date")) -> DataFrame:
+        return self.table(f"live/{table}", *keys).read()
 
     def append_once(self, table: str, df: DataFrame, key: str) -> None:
         """Append rows whose key is not stored yet (a declared test is scored once)."""
-        if self._exists(f"live/{table}"):
-            df = df.join(self.live(table).select(key), key, "left_anti")
-        df.write.mode("append").parquet(f"{self.root}/live/{table}")
+        own = self.table(f"live/{table}", key)
+        if own._exists():
+            df = df.join(own.read().select(key), key, "left_anti")
+        if not df.isEmpty():
+            own.write(df)
 
 
 def latest_state(events: DataFrame) -> DataFrame:
