@@ -99,3 +99,14 @@ def boosted_forecast(t: Tables):
     made = predict(rows, forest, options).select("id", F.get(names, F.col("fit")).alias("f"), "mean").select("id", "f.*", "mean")
     j = made.join(rows, "id").withColumn("actual", F.get("y", F.col("target")))
     return rounded(j.groupBy("fold", "market").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("mean") - F.col("actual"))).alias("mae"), F.avg(F.abs(F.get("x", F.lit(0)) - F.col("actual"))).alias("persistence_mae")), 4)
+
+
+@check("tail_fits")
+def tail_fits(t: Tables):
+    """Pareto fits of the values above each event type's 95th percentile, and of all of them pooled.  No SQL: tests hold the merged sums against fits of single groups."""
+    from wattline.operators.ordered import exact_quantiles
+    from wattline.operators.tails import gpd_fits
+
+    thr = exact_quantiles(t.events, ["event_type"], "value", [0.95], names=["thr"])
+    e = t.events.join(thr, "event_type").where("value > thr").select("event_type", (F.col("value") - F.col("thr")).alias("e"))
+    return rounded(gpd_fits(e.unionByName(e.withColumn("event_type", F.lit(None).cast("string"))), ["event_type"], "e"), 4)

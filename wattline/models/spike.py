@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline import settings as S
 from wattline.functions.numeric import gpd_quantile
-from wattline.operators.kernels import gpd_fit
+from wattline.operators.logistic import Logit, fit_logits, next_slot_loss
 from wattline.operators.scoring import brier, log_loss, with_total
+from wattline.operators.tails import gpd_fits
 from wattline.plans.folds import Fold, assign_test_fold, spread_history
+from wattline.session import cut_lineage
 from wattline.settings import QCOLS, QUANTILES
 
+# fixed values: trailing spans, decay and the member's features
 LEVEL, THRESHOLD_DAYS, EXCESS_DAYS, MIN_SPIKES = 0.95, 365, 730, 50
 DECAY, DECAY_DAYS = 0.7, 30
 STORM = ["storm", "storm_x_load", "hrrr_lightning_zone", "hrrr_cape_zone"]
@@ -80,30 +80,20 @@ def labelled(d: DataFrame, folds: list[Fold]) -> tuple[DataFrame, DataFrame, Dat
     return train, add(assign_test_fold(d, folds).drop("train_end")), thr
 
 
-def _standardise(df: DataFrame, stats: dict[str, tuple[float, float]], zones: list[str]) -> DataFrame:
-    cols = {f"_x_{c}": F.coalesce((F.col(c).cast("double") - F.lit(m)) / F.lit(s), F.lit(0.0)) for c, (m, s) in stats.items()}
-    cols |= {f"_z_{i}": (F.col("zone") == z).cast("double") for i, z in enumerate(zones[1:])}
-    cols |= {f"_h_{b}": (F.col("hour_block") == b).cast("double") for b in range(1, 6)}
-    return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df.withColumns(cols)).drop(*cols)
+def _inputs(features: list[str], zones: list[str]) -> Column:
+    """Raw features and the dummies of zone and hour block, as one array."""
+    return F.array(*[F.col(c).cast("double") for c in features], *[(F.col("zone") == z).cast("double") for z in zones[1:]], *[(F.col("hour_block") == b).cast("double") for b in range(1, 6)])
 
 
 def excess_parameters(train: DataFrame, days: int = EXCESS_DAYS, min_spikes: int = MIN_SPIKES) -> DataFrame:
-    """(fold, zone, xi, sigma): generalised Pareto fit of the excess per zone, pooled where a zone has too few.
-
-    Groups hold the top 5 % of two years of hours.
-    """
+    """(fold, zone, xi, sigma): generalised Pareto fit of the excess per zone, pooled where a zone has too few."""
     last = train.groupBy("fold").agg(F.max("delivery_date").alias("_l"))
     e = train.join(last, "fold").filter((F.col("delivery_date") > F.date_sub("_l", days)) & (F.col("rt_total") > F.col("thr")))
     e = e.select("fold", "zone", (F.col("rt_total") - F.col("thr")).alias("e"))
 
-    def one(cols: list[str]):
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            xi, sigma = gpd_fit(pdf["e"].to_numpy())
-            return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in cols}, "xi": [xi], "sigma": [sigma], "n": [len(pdf)]})
-        return fit
-
-    zonal = e.groupBy("fold", "zone").applyInPandas(one(["fold", "zone"]), "fold string, zone string, xi double, sigma double, n long")
-    pooled = e.groupBy("fold").applyInPandas(one(["fold"]), "fold string, xi double, sigma double, n long")
+    # the pool of a fold is one more group, of any size
+    fits = gpd_fits(e.unionByName(e.withColumn("zone", F.lit(None).cast("string"))), ["fold", "zone"], "e")
+    zonal, pooled = fits.where("zone IS NOT NULL"), fits.where("zone IS NULL")
     keys = train.select("fold", "zone").distinct()
     j = keys.join(zonal, ["fold", "zone"], "left").join(pooled.select("fold", F.col("xi").alias("_xi"), F.col("sigma").alias("_s")), "fold")
     own = F.col("n") >= min_spikes
@@ -124,37 +114,32 @@ class SpikeModel:
         self.name = "spike_full" if variant == "full" else f"spike_{variant}"
         self.features, self.zones, self.penalties = VARIANTS[variant], zones, penalties
 
-    def _fit(self, rows: DataFrame, c: float):
-        n = rows.count()
-        return LogisticRegression(labelCol="spike", regParam=1.0 / (c * n), elasticNetParam=1.0, maxIter=200, standardization=False).fit(rows)
-
     def fit_predict(self, panel: DataFrame, folds: list[Fold]) -> DataFrame:
-        """All folds are labelled in one plan; the logistic fits run per fold as Spark jobs."""
+        """All folds are labelled in one plan; all their logistic fits, over penalties and quarters, share each pass over the training rows."""
         train, test, _ = labelled(frame(panel, self.zones), folds)
+        train = cut_lineage(train)
         params = excess_parameters(train)
-        out = None
-        for f in folds:
-            tr, te = train.filter(F.col("fold") == f.name), test.filter(F.col("fold") == f.name)
-            row = tr.agg(*[F.avg(c).alias(f"m_{c}") for c in self.features], *[F.stddev_samp(c).alias(f"s_{c}") for c in self.features],
-                         F.min("delivery_date").alias("a"), F.max("delivery_date").alias("b")).first()
-            stats = {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in self.features if row[f"m_{c}"] is not None}
-            x = _standardise(tr, stats, self.zones).select("delivery_date", "features", "spike")
-            span = (row["b"] - row["a"]).days + 1
-            slot = F.floor(F.datediff("delivery_date", F.lit(row["a"])) * 4 / span)
-            losses = {}
-            for c in self.penalties if len(self.penalties) > 1 else ():
-                parts = []
-                for k in (1, 2, 3):                                  # train on the first k quarters, test on the next
-                    m = self._fit(x.filter(slot < k), c)
-                    p = m.transform(x.filter(slot == k)).withColumn("p", vector_to_array("probability")[1])
-                    parts.append(p.agg(log_loss(F.col("p"), F.col("spike")).alias("l")).first()["l"])
-                losses[c] = sum(v for v in parts if v is not None)
-            best = min(losses, key=losses.get) if losses else self.penalties[0]
-            model = self._fit(x, best)
-            scored = model.transform(_standardise(te, stats, self.zones)).withColumn("p_spike", vector_to_array("probability")[1])
-            part = scored.drop("features", "rawPrediction", "probability", "prediction")
-            out = part if out is None else out.unionByName(part)
-        q = excess_quantiles(out.join(params, ["fold", "zone"]))
+        width = len(self.features) + len(self.zones) - 1 + 5
+        stats = train.groupBy("fold").agg(F.min("delivery_date").alias("_a"), (F.datediff(F.max("delivery_date"), F.min("delivery_date")) + 1).alias("_span"),
+                                          F.array(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in self.features]).alias("_m"),
+                                          F.array(*[F.coalesce(F.nullif(F.stddev_samp(c), F.lit(0.0)), F.lit(1.0)) for c in self.features]).alias("_s"))
+        stats = cut_lineage(stats)
+        raw, own = _inputs(self.features, self.zones), len(self.features)
+        moved = F.transform(F.col("_raw"), lambda v, i: F.coalesce(F.when(i < own, (v - F.get("_m", i)) / F.get("_s", i)).otherwise(v), F.lit(0.0)))
+        ready = lambda rows: rows.join(stats, "fold").withColumn("_raw", raw).withColumn("_x", moved)     # noqa: E731
+        rows = ready(train).select("fold", F.floor(F.datediff("delivery_date", "_a") * 4 / F.col("_span")).cast("int").alias("slot"), F.col("_x").alias("x"), F.col("spike").alias("y"))
+        rows = cut_lineage(rows)
+        chosen = {f.name: self.penalties[0] for f in folds}
+        if len(self.penalties) > 1:                                      # learn from the first k quarters, test on the next
+            trial = [Logit(f.name, k, 1.0 / c) for f in folds for c in self.penalties for k in (1, 2, 3)]
+            loss = np.nan_to_num(next_slot_loss(rows, trial, fit_logits(rows, trial, width), width)).reshape(len(folds), len(self.penalties), 3).sum(axis=2)
+            chosen = {f.name: self.penalties[int(i)] for f, i in zip(folds, loss.argmin(axis=1), strict=True)}
+        final = [Logit(f.name, 4, 1.0 / chosen[f.name]) for f in folds]
+        beta = fit_logits(rows, final, width)
+        table = panel.sparkSession.createDataFrame([(f.group, [float(v) for v in b[1:]], float(b[0])) for f, b in zip(final, beta, strict=True)], "fold string, _b array<double>, _b0 double")
+        z = F.aggregate(F.zip_with("_x", "_b", lambda x, w: x * w), F.col("_b0"), lambda s, v: s + v)
+        out = ready(test).join(table, "fold").withColumn("p_spike", 1 / (1 + F.exp(-z)))
+        q = excess_quantiles(out.drop("_x", "_raw", "_b", "_b0", "_m", "_s", "_a", "_span").join(params, ["fold", "zone"]))
         return q.select("fold", "delivery_date", "ts_utc", "zone", "hour_local", F.lit("rt").alias("market"), F.lit("total").alias("component"),
                         F.col("rt_total").alias("y"), F.col("score_rt").alias("scored"), "mean", *QCOLS, "p_spike", "thr", "xi", "sigma", "spike", "spike_d2_h")
 
