@@ -16,6 +16,7 @@ from wattline.models.congestion import shift_factors
 from wattline.operators.resampling import cluster_bootstrap, shuffle_within
 from wattline.operators.significance import clustered_slope, diebold_mariano
 from wattline.operators.sparse import top_keys
+from wattline.session import cut_lineage
 from wattline.settings import MARKET_TZ
 
 WINDOW_DAYS, TOP_K, MIN_COVERAGE, NODE_COVERAGE, CUTOFF_LAG = 365, 60, 0.99, 0.90, 7
@@ -56,20 +57,68 @@ def point_days(cong: DataFrame, tz: str = MARKET_TZ) -> DataFrame:
     return cong.filter("cong IS NOT NULL").groupBy("ptid", local_date(F.col("ts_utc"), tz).alias("d")).agg(F.sum("cong").alias("s"), F.count("cong").alias("n"))
 
 
+def day_sums(cong: DataFrame, tz: str = MARKET_TZ) -> tuple[DataFrame, DataFrame]:
+    """(running, gaps): for each point and day of the table's span the sum `cs` and the hours `ch` of its whole days up to it, and the days on which a point lacks an
+    hour that some point has, with what it does have as zero or one whole day: (ptid, d, s, h) summed over whole days only.
+
+    A point is a calendar of days, so the running window is bounded."""
+    slim = point_days(cong, tz)
+    clock = cong.filter("cong IS NOT NULL").select("ts_utc").distinct().groupBy(local_date(F.col("ts_utc"), tz).alias("d")).agg(F.count("*").alias("h"))
+    span = clock.agg(F.min("d").alias("_a"), F.max("d").alias("_b"))
+    grid = slim.select("ptid").distinct().join(span).select("ptid", F.explode(F.sequence("_a", "_b")).alias("d"))
+    full = slim.join(clock, "d").where("n = h").select("ptid", "d", "s", "h")
+    laid = grid.join(full, ["ptid", "d"], "left")
+    upto = Window.partitionBy("ptid").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    running = laid.select("ptid", "d", F.sum(F.coalesce("s", F.lit(0.0))).over(upto).alias("cs"), F.sum(F.coalesce("h", F.lit(0))).over(upto).alias("ch"))
+    gaps = laid.where("h IS NULL").join(clock.select("d"), "d", "left_semi").select("ptid", "d")
+    return running, gaps
+
+
 def span_payoff(cong: DataFrame, asks: DataFrame, tz: str = MARKET_TZ) -> DataFrame:
     """For asks (ask, poi, pow, a, b): sum of sink minus source over local days a..b where both are priced, and the hours.
 
-    Hours where only one end is priced must not count, so the pair is matched on hours; asks are first reduced to distinct
-    (poi, pow) pairs and laid out on days.
+    Running sums of whole days answer a span by two lookups an end, whatever its length.  Hours where only one end is priced must not count, so the days on
+    which either end lacks an hour are matched hour by hour and put in the place of what the running sums hold of them.
     """
-    pairs = asks.select("poi", "pow").distinct()
-    hours = cong.filter("cong IS NOT NULL").select("ts_utc", "ptid", "cong")
-    src = pairs.join(hours.select(F.col("ptid").alias("poi"), "ts_utc", F.col("cong").alias("_src")), "poi")
+    running, gaps = day_sums(cong, tz)
+    running, gaps = cut_lineage(running), cut_lineage(gaps)
+    edge = running.agg(F.min("d").alias("_min"), F.max("d").alias("_max"))
+    known, own = running.select("ptid").distinct(), asks
+    for end in ("poi", "pow"):                               # without a price at one end there is nothing to sum
+        own = own.join(known.withColumnRenamed("ptid", end), end, "left_semi")
+    own = own.join(edge).withColumns({"_lo": F.date_sub("a", 1), "_hi": F.least("b", "_max")})
+    for end in ("poi", "pow"):
+        for at in ("_lo", "_hi"):
+            # a point has a row for every day of the table's span; before it there is nothing to subtract
+            day = F.least(at, "_max") if at == "_lo" else F.col(at)
+            look = running.select(F.col("ptid").alias(end), F.col("d").alias("_d"), F.col("cs").alias(f"{at}_{end}_s"), F.col("ch").alias(f"{at}_{end}_h"))
+            own = own.withColumn("_d", day).join(look, [end, "_d"], "left").drop("_d")
+    part = lambda end, c: F.coalesce(f"_hi_{end}_{c}", F.lit(0)) - F.coalesce(f"_lo_{end}_{c}", F.lit(0))          # noqa: E731
+    own = own.select("ask", (part("pow", "s") - part("poi", "s")).alias("_s"), part("pow", "h").alias("_h"))
+
+    # days with gaps
+    pairs = asks.where("a <= b").groupBy("poi", "pow").agg(F.min("a").alias("_a"), F.max("b").alias("_b"))
+    lost = None
+    for end in ("poi", "pow"):
+        g = pairs.join(gaps.withColumnRenamed("ptid", end), end).where(F.col("d").between(F.col("_a"), F.col("_b"))).select("poi", "pow", "d")
+        lost = g if lost is None else lost.unionByName(g)
+    lost = cut_lineage(lost.distinct())
+    hours = cong.filter("cong IS NOT NULL").select("ptid", "ts_utc", local_date(F.col("ts_utc"), tz).alias("d"), "cong")
+    src = lost.join(hours.select(F.col("ptid").alias("poi"), "d", "ts_utc", F.col("cong").alias("_src")), ["poi", "d"])
     both = src.join(hours.select(F.col("ptid").alias("pow"), "ts_utc", F.col("cong").alias("_snk")), ["pow", "ts_utc"])
-    daily = both.groupBy("poi", "pow", local_date(F.col("ts_utc"), tz).alias("d")).agg(F.sum(F.col("_snk") - F.col("_src")).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    laid = asks.filter("a <= b").withColumn("d", F.explode(F.sequence("a", "b")))
-    got = laid.join(daily, ["poi", "pow", "d"]).groupBy("ask").agg(F.sum("_s").alias("payoff"), F.sum("_n").alias("hours"))
-    return asks.join(got, "ask", "left").na.fill(0, ["hours"])
+    exact = both.groupBy("poi", "pow", "d").agg(F.sum(F.col("_snk") - F.col("_src")).alias("_es"), F.count(F.lit(1)).alias("_eh"))
+    # what the running sums hold of these days: the one end that is whole
+    for end in ("poi", "pow"):
+        day = running.select(F.col("ptid").alias(end), "d", "cs", "ch")
+        before = running.select(F.col("ptid").alias(end), F.date_add("d", 1).alias("d"), F.col("cs").alias("_ps"), F.col("ch").alias("_ph"))
+        lost = lost.join(day, [end, "d"], "left").join(before, [end, "d"], "left").select(
+            *[c for c in lost.columns], (F.coalesce("cs", F.lit(0.0)) - F.coalesce("_ps", F.lit(0.0))).alias(f"_{end}_s"), (F.coalesce("ch", F.lit(0)) - F.coalesce("_ph", F.lit(0))).alias(f"_{end}_h"))
+    mend = lost.join(exact, ["poi", "pow", "d"], "left").select(
+        "poi", "pow", "d", (F.coalesce("_es", F.lit(0.0)) - F.col("_pow_s") + F.col("_poi_s")).alias("_ms"), (F.coalesce("_eh", F.lit(0)) - F.col("_pow_h")).alias("_mh"))
+    mended = asks.select("ask", "poi", "pow", "a", "b").join(mend, ["poi", "pow"]).where(F.col("d").between(F.col("a"), F.col("b"))).groupBy("ask").agg(F.sum("_ms").alias("_ms"), F.sum("_mh").alias("_mh"))
+    got = own.join(mended, "ask", "left").select("ask", (F.col("_s") + F.coalesce("_ms", F.lit(0.0))).alias("_p"), (F.col("_h") + F.coalesce("_mh", F.lit(0))).cast("long").alias("hours"))
+    out = asks.join(got, "ask", "left").na.fill(0, ["hours"])
+    return out.withColumns({"hours": F.when(F.col("a") <= F.col("b"), F.col("hours")).otherwise(F.lit(0)), "payoff": F.when((F.col("a") <= F.col("b")) & (F.col("hours") > 0), F.col("_p"))}).drop("_p")
 
 
 def price_baselines(paths: DataFrame, cong: DataFrame, tz: str = MARKET_TZ) -> DataFrame:
