@@ -97,3 +97,28 @@ def test_each_stage_against_brute_force(spark, stages):
         ids = np.array([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 1], "<u4")
         want |= {(i, k, a, len(ids[a:a + 4096]), zlib.crc32(ids[a:a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))}
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in stages[4].collect()} == want
+
+
+def test_stages_with_null_and_repeated_ids_and_clashing_names(spark):
+    """Every stage on rows with null ids, one id with two texts, repeated rows and columns named as inner ones; and on no rows."""
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join(f"wort{x}" for x in rng.integers(0, 10**6, n))                       # noqa: E731
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 80").orderBy("item_id").first()["text"]
+    shared, clean = text(50), [text(90) for _ in range(4)]
+    given = [(None, clean[0]), (None, clean[0]), (None, f"{text(40)} {item}"), (None, clean[1]), (1, f"{text(9)} {shared}"), (1, clean[2]), (2, f"{shared} {text(9)}"), (3, None), (None, None), (4, "12 34"), (5, clean[3]), (5, clean[3])]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row bigint, _gone string, gone_id int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, "g", 8) for i, t in given], schema).repartition(3)
+    for name, fn in corpus_pipeline.STAGES:
+        empty = fn(spark, docs.limit(0), SF)
+        assert empty.count() == 0
+        out = fn(spark, docs, SF)
+        if name == "packed":
+            break
+        assert out.columns == docs.columns
+        docs = staged(out)
+        assert all((r["row"], r["_gone"], r["gone_id"]) == (7, "g", 8) for r in docs.collect())
+    kept = sorted(str((r["doc_id"], r["text"])) for r in docs.collect())
+    own = [str((i, t)) for i, t in ((None, clean[0]), (None, clean[1]), (1, clean[2]), (5, clean[3]))]
+    assert [k for k in kept if k in own] == sorted(own) and len(kept) == 6                          # and the two texts that lost the shared passage
+    assert sum("wort" in k and item not in k and shared not in k for k in kept) == 6
+    assert {r["doc_id"] for r in out.collect()} == {None, 1, 2, 5}
