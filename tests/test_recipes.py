@@ -40,7 +40,6 @@ def test_recipes_are_data_and_share_their_parts(spark):
         a.frame(recipes.Source({}, None, []))
 
 
-@pytest.mark.xfail(reason="open: since the registry was rewritten the chained run differs from the straight one in half of its rows", strict=False)
 def test_logged_recipe_and_holdout_chain(spark, panel, tmp_path):  # noqa: F811
     reg = Registry(spark, str(tmp_path / "r"))
     models = {"one": NaiveModel("persist_da_d1"), "two": NaiveModel("lago_naive")}

@@ -212,3 +212,22 @@ def test_slots_are_replaced_whole(spark, tmp_path):
     assert seen() == [("a", "x", 1)] * 3 + [("a", "y", 2), ("b", "x", 3)]
     assert t.read(F.col("run") == "a").count() == 4 and {r["more"] for r in t.read().collect()} == {None, "new column"}
     assert t.sweep() == 1 and seen() == [("a", "x", 1)] * 3 + [("a", "y", 2), ("b", "x", 3)]
+
+
+def test_reads_before_and_after_a_write_in_one_plan(spark, tmp_path):
+    """A table read before a write and the same table read after it are different inputs, though they are one folder."""
+    t = Table(spark, str(tmp_path / "t"), ("run",))
+    rows = lambda run, n: spark.range(n).select(F.lit(run).alias("run"), "id")      # noqa: E731
+    t.write(rows("a", 2))
+    before = t.read()
+    t.write(rows("b", 3))
+    after = t.read()
+    assert sorted(r["run"] for r in before.unionByName(after).collect()) == ["a"] * 4 + ["b"] * 3
+    assert [r["run"] for r in after.join(before, ["run", "id"], "left_anti").collect()] == ["b"] * 3
+    t.write(rows("a", 1))
+    assert t.read().count() == 4 and t.read("run = 'none'").count() == 0 and t.read("run = 'none'").columns == before.columns
+    r = Registry(spark, str(tmp_path / "reg"))
+    e = r.record(Event.of("m", {}, "running"))
+    first = r.runs()
+    r.record(e.then("done"))
+    assert sorted(x["status"] for x in first.unionByName(r.runs()).collect()) == ["done", "running"]

@@ -4,6 +4,9 @@ A table (predictions, scores, artifacts, live days) is a folder of generations,
 current generation of each slot (a run's fold, a run, a signal's day).  A write puts its rows into a new generation and, when all of them are there, adds the
 slots to the manifest in one small file.  Readers go by the manifest, so they see a slot before or after a write and never a mixture; a job that is
 retried or runs twice leaves an unused generation behind, which `sweep` removes.
+
+Readers name the files of the manifest and the generations they stand for one by one.  Spark takes two scans of one folder for the same scan, whatever the folder held when
+each was planned, and may answer both from one exchange: a plan that joined a table read before a write with one read after it would lose the rows of the later one.
 """
 
 from __future__ import annotations
@@ -63,6 +66,9 @@ class Table:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def _manifest(self) -> DataFrame:
+        return self.spark.read.parquet(*files_now(self.spark, f"{self.root}/manifest"))
+
     def write(self, df: DataFrame) -> str:
         """Replace the slots that df has; returns the generation."""
         generation = f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex}"
@@ -74,14 +80,20 @@ class Table:
 
     def current(self) -> DataFrame:
         """(slots as text, generation): the manifest's latest word on each slot.  Generations sort by time."""
-        return self.spark.read.parquet(f"{self.root}/manifest").groupBy(*self.slots).agg(F.max("generation").alias("generation"))
+        return self._manifest().groupBy(*self.slots).agg(F.max("generation").alias("generation"))
+
+    def _used(self, current: DataFrame) -> list[str]:
+        """Generations that some slot needs: at most one for each write that is still in force."""
+        return sorted(r[0] for r in current.select("generation").distinct().collect())
 
     def read(self, *only) -> DataFrame:
         """Current rows; columns that a generation lacks are NULL.  `only`: conditions on the slot columns, which prune folders."""
-        rows = self.spark.read.option("mergeSchema", True).option("basePath", f"{self.root}/rows").parquet(f"{self.root}/rows")
+        current = self.current()
+        folders = [f"{self.root}/rows/generation={g}" for g in self._used(current)]
+        rows = self.spark.read.option("mergeSchema", True).option("basePath", f"{self.root}/rows").parquet(*folders)
         for condition in only:
             rows = rows.where(condition)
-        now = self.current().select("generation", *[F.col(c).alias(f"_{c}") for c in self.slots])
+        now = current.select("generation", *[F.col(c).alias(f"_{c}") for c in self.slots])
         same = rows["generation"] == now["generation"]
         for c in self.slots:
             same = same & F.col(c).cast("string").eqNullSafe(F.col(f"_{c}"))
@@ -89,7 +101,7 @@ class Table:
 
     def sweep(self) -> int:
         """Delete the generations that no slot needs; for times when nobody writes or reads."""
-        used = {r[0] for r in self.current().select("generation").distinct().collect()}
+        used = self._used(self.current())
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         store = fs_path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
         old = [f.getPath() for f in store.listStatus(fs_path(f"{self.root}/rows")) if f.getPath().getName().removeprefix("generation=") not in used]
@@ -127,7 +139,7 @@ class Registry:
 
     def runs(self) -> DataFrame:
         """Latest state of every run."""
-        return latest_state(self.spark.read.schema(EVENTS).parquet(f"{self.root}/events"))
+        return latest_state(self.spark.read.schema(EVENTS).parquet(*files_now(self.spark, f"{self.root}/events")))
 
     def latest_runs(self, models: list[str] | None = None) -> DataFrame:
         done = self.runs().filter(F.col("status") == DONE)
@@ -204,6 +216,13 @@ class Registry:
             own.write(df)
 
 
+def files_now(spark: SparkSession, folder: str) -> list[str]:
+    """The data files that a folder has now."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().toString() for f in listed if not f.getPath().getName().startswith(("_", ".")))
+
+
 def latest_state(events: DataFrame) -> DataFrame:
     cols = [c for c in events.columns if c != "run_id"]
     g = events.groupBy("run_id").agg(F.max_by(F.struct(*cols), F.struct("event_utc", F.col("status") != "running")).alias("_r"))
