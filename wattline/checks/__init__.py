@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("warehouse", "joins", "scoring", "statistics", "network", "trade", "panels", "fleet", "ingest", "streams", "live")
+MODULES = ("warehouse", "joins", "scoring", "statistics", "network", "trade", "panels", "fleet", "ingest", "streams", "live", "chain")
 
 
 def _load() -> None:

@@ -59,7 +59,10 @@ def cobinding_graph(t: Tables):
     return rounded(cobinding(shadow(t).withColumn("fold", F.year("d")), catalogue(t), ["fold", "market"], ["d"], "key", K, 3))
 
 
-@check("top_cobinding_edges")
+@check("top_cobinding_edges", f"""WITH {SHADOW_SQL}, {CAT_SQL}, x AS (SELECT cat.yr, d, cat.key, r FROM sp JOIN cat ON cat.yr = year(d) AND cat.market = sp.market AND cat.key = sp.key WHERE sp.market = 'da'), n AS (SELECT yr, key, count(*) AS n FROM x GROUP BY 1, 2),
+p AS (SELECT a.yr, a.key AS ka, b.key AS kb, count(*) AS nab FROM x a JOIN x b USING (yr, d) WHERE a.r < b.r GROUP BY ALL),
+e AS (SELECT p.yr, ka, kb, nab, nab / (na.n + nb.n - nab) AS jaccard FROM p JOIN n na ON na.yr = p.yr AND na.key = ka JOIN n nb ON nb.yr = p.yr AND nb.key = kb)
+SELECT ka AS key_a, kb AS key_b, nab AS hours_both, round(jaccard, 6) AS jaccard FROM e WHERE yr = (SELECT max(yr) FROM e) ORDER BY e.jaccard DESC, ka, kb LIMIT 10""")
 def top_edges(t: Tables):
     """Strongest edges of the latest fold; ties by name."""
     g = cobinding(shadow(t).withColumn("fold", F.year("d")), catalogue(t), ["fold", "market"], ["d"], "key", K, 1)
