@@ -105,6 +105,23 @@ def test_cluster_tools(spark):
     assert a.filter("abs(s - t) > 1e-9").count() == 0 and mixed.join(df, ["g", "x", "y"], "left_anti").count() > 1000
 
 
+def test_cluster_bootstrap_of_pieces(spark, monkeypatch):
+    """Clusters dealt over several rows give the draws of a table with one row a pick."""
+    from wattline.functions.numeric import hash_uniform
+    from wattline.operators import resampling
+
+    df = spark.createDataFrame([(g, c, float((c * 37 + i * 11) % 23) - 9.0 if c % 5 else None) for g, k in (("a", 17), ("b", 5)) for c in range(k) for i in range(c % 3 + 1)], "g string, c int, pnl double")
+    each = df.groupBy("g", "c").agg(F.sum(F.coalesce("pnl", F.lit(0.0))).alias("t"), F.count("pnl").alias("n"))
+    picks = each.select("g", "c", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("b")).withColumn("k", F.when(F.col("g") == "a", 17).otherwise(5))
+    picks = picks.select("g", "b", F.floor(hash_uniform(F.col("g"), F.col("b"), F.col("c"), seed=3) * F.col("k")).cast("int").alias("c"))
+    m = picks.join(each, ["g", "c"]).groupBy("g", "b").agg((F.sum("t") / F.sum("n")).alias("m"))
+    want = {r["g"]: (r["lo"], r["hi"]) for r in m.groupBy("g").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi")).collect()}
+    for piece in (3, resampling.CLUSTER_PIECE):
+        monkeypatch.setattr(resampling, "CLUSTER_PIECE", piece)
+        got = {r["g"]: (r["lo"], r["hi"]) for r in cluster_bootstrap(df, ["g"], "c", "pnl", 50, 3).collect()}
+        assert set(got) == {"a", "b"} and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
 def test_sparse_algebra_against_numpy(spark):
     rng = np.random.default_rng(7)
     x = np.where(rng.random((200, 5)) < 0.4, rng.normal(size=(200, 5)), 0.0)

@@ -166,20 +166,31 @@ def required_length(curve: DataFrame, target: float = 0.8) -> DataFrame:
     return curve.filter(F.col("power") >= target).agg(F.min("n_days").cast("double").alias("n_days"))
 
 
-def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, pnl: str, draws: int = 4000, seed: int = 0) -> DataFrame:
+CLUSTER_PIECE = 1 << 19             # clusters that one row holds as arrays (8 MB); more are dealt over several rows
+
+
+def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, pnl: str, draws: int = 4000, seed: int = 0, block: int = 32) -> DataFrame:
     """Bootstrap of the mean P&L per trade that resamples whole clusters.
 
-    Clusters are numbered once; draw b picks cluster floor(u * K) K times, and only the per-cluster sums are joined.
+    Clusters are numbered once; draw b picks cluster floor(u * K) K times.  The per-cluster sums are arrays that meet the blocks of draws, and a draw is
+    folded where it is made, so no row is made for a pick and only the arrays are moved, once a block.
     """
     sums = df.groupBy(*by, cluster).agg(F.sum(F.coalesce(F.col(pnl), F.lit(0.0))).alias("_tot"),
                                         F.count(pnl).cast("double").alias("_trades"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     num = sums.withColumn("_c", F.row_number().over(w.orderBy(cluster)) - 1).withColumn("_k", F.count(F.lit(1)).over(w))
-    picks = num.select(*by, "_c", "_k", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
-    keys = [F.col(k) for k in by]
-    picks = picks.select(*by, "b", F.floor(hash_uniform(*keys, F.col("b"), F.col("_c"), seed=seed) * F.col("_k")).cast("int").alias("_c"))
-    boot = picks.groupBy(*by, "b", "_c").agg(F.count(F.lit(1)).alias("_w")).join(num.drop("_k"), [*by, "_c"]).groupBy(*by, "b").agg(
-        F.sum(F.col("_w") * F.col("_tot")).alias("_t"), F.sum(F.col("_w") * F.col("_trades")).alias("_n"))
+    size = F.lit(CLUSTER_PIECE)
+    piece = num.groupBy(*by, "_k", (F.col("_c") - F.col("_c") % size).alias("_at")).agg(F.sort_array(F.collect_list(F.struct("_c", "_tot", "_trades"))).alias("_x"))
+    piece = piece.select(*by, "_k", "_at", F.transform("_x", lambda x: x["_tot"]).alias("_tots"), F.transform("_x", lambda x: x["_trades"]).alias("_all"))
+    work = piece.withColumn("_lo", F.explode(F.sequence(F.lit(0), (F.col("_k") - 1).cast("int"), size))).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(draws), F.lit(block))))
+    work = work.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by, "_at", "_lo", "_b")
+    keys, turns = [F.col(k) for k in by], F.sequence("_lo", F.least(F.col("_lo") + size, F.col("_k").cast("int")) - 1)
+    pick = lambda b: F.transform(turns, lambda c: F.floor(hash_uniform(*keys, b, c, seed=seed) * F.col("_k")).cast("int") - F.col("_at"))              # noqa: E731
+    here = lambda c, i: F.coalesce(F.get(c, i), F.lit(0.0))                                  # noqa: E731
+    none = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("n"))
+    fold = lambda b: F.aggregate(pick(b), none, lambda a, i: F.struct((a["t"] + here("_tots", i)).alias("t"), (a["n"] + here("_all", i)).alias("n")))      # noqa: E731
+    made = work.select(*by, F.explode(F.transform(F.sequence("_b", F.least(F.col("_b") + (block - 1), F.lit(draws))), lambda b: F.struct(b.alias("b"), fold(b).alias("s")))).alias("_d"))
+    boot = made.groupBy(*by, F.col("_d.b").alias("b")).agg(F.sum("_d.s.t").alias("_t"), F.sum("_d.s.n").alias("_n"))
     boot = boot.filter("_n > 0").withColumn("_m", F.col("_t") / F.col("_n"))
     ci = boot.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("lo"), F.percentile("_m", F.lit(0.975)).alias("hi"),
                                F.avg((F.col("_m") <= 0).cast("double")).alias("p"))
