@@ -122,6 +122,18 @@ def test_cluster_bootstrap_of_pieces(spark, monkeypatch):
         assert set(got) == {"a", "b"} and all(got[g] == pytest.approx(want[g]) for g in want)
 
 
+def test_permutations_move_no_row_a_draw(spark):
+    """Rows of a group meet in the array that holds them: no join of all rows of all draws, which Spark may try to broadcast."""
+    df = spark.createDataFrame([(a, f"p{i}", float(a * 10 + i), i) for a in range(3) for i in range(a + 4)], "a int, p string, s double, c int")
+    mixed = shuffle_within(df, ["a"], ["p"], ["s"], 70, 1)
+    assert "Join" not in mixed._jdf.queryExecution().optimizedPlan().toString()
+    rows = mixed.collect()
+    assert len(rows) == 70 * 15 and {(r["a"], r["p"], r["c"]) for r in rows} == {(r["a"], r["p"], r["c"]) for r in df.collect()}
+    for b in (1, 64, 65, 70):
+        assert sorted(r["s"] for r in rows if r["b"] == b) == sorted(r["s"] for r in df.collect())
+    assert len({tuple(r["s"] for r in sorted(rows, key=lambda r: r["p"]) if r["b"] == b and r["a"] == 2) for b in range(1, 71)}) > 40
+
+
 def test_sparse_algebra_against_numpy(spark):
     rng = np.random.default_rng(7)
     x = np.where(rng.random((200, 5)) < 0.4, rng.normal(size=(200, 5)), 0.0)

@@ -198,16 +198,17 @@ def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, pnl: str, draw
     return obs.join(ci, by, "left") if by else obs.join(ci)
 
 
-def shuffle_within(df: DataFrame, groups: list[str], row_id: list[str], payload: list[str], draws: int, seed: int = 0) -> DataFrame:
+def shuffle_within(df: DataFrame, groups: list[str], row_id: list[str], payload: list[str], draws: int, seed: int = 0, block: int = 64) -> DataFrame:
     """`draws` permutations of `payload` inside each group: (b, all other columns, shuffled payload).
 
     Rows of a group are matched rank to rank between their stable order and a hash order.  A group is one location-hour or
-    one auction, i.e. bounded by the calendar or by the auction's paths.
+    one auction, i.e. bounded by the calendar or by the auction's paths, so it is one array, and only the arrays are moved, once a block of draws.
     """
-    keep = [c for c in df.columns if c not in payload]
-    each = df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    w = Window.partitionBy("b", *groups)
-    ids = [F.col(c) for c in row_id]
-    fixed = each.withColumn("_r", F.row_number().over(w.orderBy(*row_id))).select("b", "_r", *keep)
-    mixed = each.withColumn("_r", F.row_number().over(w.orderBy(hash_uniform(F.col("b"), *ids, seed=seed), *row_id)))
-    return fixed.join(mixed.select("b", "_r", *groups, *payload), ["b", "_r", *groups])
+    keep = [c for c in df.columns if c not in [*payload, *groups, *row_id]]
+    row = F.struct(*row_id, *keep, *payload)
+    laid = df.groupBy(*groups).agg(F.sort_array(F.collect_list(row)).alias("_rows")).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(draws), F.lit(block))))
+    laid = laid.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *groups, "_b")
+    each = laid.select(*groups, "_rows", F.explode(F.sequence("_b", F.least(F.col("_b") + (block - 1), F.lit(draws)))).alias("b"))
+    drawn = lambda r: F.struct(hash_uniform(F.col("b"), *[r[c] for c in row_id], seed=seed).alias("_u"), r.alias("_r"))       # noqa: E731
+    pairs = each.select("b", *groups, F.explode(F.arrays_zip("_rows", F.sort_array(F.transform("_rows", drawn)).alias("_mixed"))).alias("_p"))
+    return pairs.select("b", *groups, *[F.col(f"_p._rows.{c}").alias(c) for c in [*row_id, *keep]], *[F.col(f"_p._mixed._r.{c}").alias(c) for c in payload])

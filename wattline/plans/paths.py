@@ -221,13 +221,14 @@ def squared_error_dm(obs: DataFrame, forecast: str, base: str) -> DataFrame:
 
 def summarise(obs: DataFrame, forecast: str, baselines: tuple = ("c", "persistence", "climatology"), draws: int = 4000, seed: int = 0) -> DataFrame:
     """(statistic, value): all declared statistics of one forecast on the rows where it and the payoff exist."""
-    d = edge(obs.filter(F.col(forecast).isNotNull() & F.col("y").isNotNull()), forecast)
+    obs = cut_lineage(obs.filter(F.col(forecast).isNotNull() & F.col("y").isNotNull()))       # read by every statistic
+    d = edge(obs, forecast)
     parts = [d.agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_distinct("auction").cast("double").alias("n_auctions"), F.count_distinct("path").cast("double").alias("n_paths")),
              clustered_slope(d, [], "s", "o", "auction").select(*[F.col(c).alias(f"slope_{c}") for c in ("slope", "se", "t")])]
     for by in ("path", "auction"):
         b = cluster_bootstrap(d, [], by, "pnl", draws, seed)
         parts.append(b.select(*[F.col(c).cast("double").alias(f"boot_{by}_{c}") for c in ("n_trades", "mean", "lo", "hi", "p")]))
-    null = permutation_null(obs.filter(F.col(forecast).isNotNull() & F.col("y").isNotNull()), forecast, seed=seed)
+    null = permutation_null(obs, forecast, seed=seed)
     parts.append(null.select(*[F.col(c).cast("double").alias(f"placebo_{c}") for c in null.columns]))
     for base in baselines:
         dm = squared_error_dm(d, forecast, base)
