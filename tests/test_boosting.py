@@ -103,3 +103,12 @@ def test_a_level_is_one_aggregate_of_all_fits(spark):
     jobs = tracker.getJobIdsForGroup("level")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert {r["fit"] for r in rows} == {0, 1, 2} and len(jobs) <= 2          # one exchange
+
+
+def test_rare_values_are_cuts_of_their_own(spark):
+    """A value too rare for any quantile is still a cut when the bins suffice for all values."""
+    values = [(0.0, 1000, 5.0), (1.0, 4, 9.0), (2.0, 4, 1.0), (3.0, 1000, 5.0)]
+    rows = [(i, 0, 0, [v, None if v == 1.0 else v], [y]) for i, (v, y) in enumerate((v, y) for v, n, y in values for _ in range(n))]
+    df = spark.createDataFrame(rows, "id bigint, day int, part int, x array<double>, y array<double>")
+    forest = B.boost(df, [B.Fit(("f",), 0, 0, 1, 0, 1)], 2, 1, B.Options("l2", trees=1, depth=1, rate=1.0, min_rows=1, bins=16, rows=1.0, features=1.0))
+    assert [e.tolist() for e in forest.edges] == [[0.0, 1.0, 2.0], [0.0, 2.0]]

@@ -112,6 +112,23 @@ class _Rows:
         return np.flatnonzero(ok if fit.only is None else ok & (self.group == fit.only))
 
 
+def _few_values(width: int, most: int):
+    """The task that lists the values of each feature, or says that it saw more than `most`."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[np.ndarray | None] = [np.zeros(0)] * width
+        for b in it:
+            x = np.array([[np.nan if v is None else v for v in r] for r in b.column("x").to_pylist()], float).reshape(len(b), -1)
+            for j in range(width):
+                if seen[j] is not None:
+                    v = np.union1d(seen[j], x[~np.isnan(x[:, j]), j])
+                    seen[j] = v if len(v) <= most else None
+        size = [1 if v is None else len(v) for v in seen]
+        v = np.concatenate([np.zeros(1) if v is None else v for v in seen])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(width, dtype=np.int32), size)), pa.array(v), pa.array(np.repeat([v is None for v in seen], size))], ["feature", "v", "many"])
+
+    return run
+
+
 class Booster:
     """One run: rows(id bigint, day int, part int, x array<double>, y array<double>)."""
 
@@ -137,11 +154,14 @@ class Booster:
         return self.__dict__ | {"table": None, "forest": replace(f, feature=old + f.feature[self.fresh:], cut=old + f.cut[self.fresh:], value=old + f.value[self.fresh:])}
 
     def _edges(self, rows: DataFrame, width: int) -> list[np.ndarray]:
-        """Bin edges of each feature: quantiles of its values, all features in one aggregate."""
+        """Bin edges of each feature: every value but the largest if the bins suffice for them, so that a rare value stays a cut of its own; else
+        quantiles of its values, all features in one aggregate."""
         probs = [i / (self.o.bins - 1) for i in range(1, self.o.bins - 1)]
         value = lambda j: F.nanvl(F.get("x", F.lit(j)), F.lit(None).cast("double"))                        # noqa: E731
         found = rows.agg(*[F.approx_percentile(value(j), probs, 10_000).alias(f"q{j}") for j in range(width)]).first()
-        return [np.unique(np.array(q, float)) if q is not None else np.zeros(0) for q in found]
+        few = {r["feature"]: r["v"] for r in rows.select("x").mapInArrow(_few_values(width, self.o.bins - 1), "feature int, v double, many boolean")
+               .groupBy("feature").agg(F.bool_or("many").alias("many"), F.sort_array(F.collect_set("v")).alias("v")).where(~F.col("many") & (F.size("v") < self.o.bins)).collect()}
+        return [np.array(few[j], float)[:-1] if few.get(j) else np.unique(np.array(q, float)) if q is not None else np.zeros(0) for j, q in enumerate(found)]
 
     # -- tasks
 
