@@ -45,3 +45,10 @@ def test_bootstrap_queries_use_the_operators_defaults(spark, monkeypatch):
     for name in ("cluster_bootstrap", "forward_power_curve"):
         registered_queries()[name](spark, ROOT)
     assert draws == [4000] and sims == [2000]
+
+
+def test_the_book_is_joined_once_a_query(spark):
+    t = trade.Tables(spark, ROOT)
+    assert t.book() is t.book()
+    plan = t.book().join(t.lagged_book(), ["d", "zone"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and t.book().count() > 0

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.plans.folds import Fold, monthly_folds
-from wattline.session import tune
+from wattline.session import cut_lineage, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,7 +39,7 @@ class Tables:
     """The test tables; stored stamps carry no zone and are UTC."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self._book = spark, root, None
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
@@ -53,8 +53,14 @@ class Tables:
     def book(self) -> DataFrame:
         """(d, zone, da, rt): mean and quantity-weighted mean line price per ship day and order priority, in thousands.
 
-        Sums are exact decimals, so both engines agree to the last digit.
+        Sums are exact decimals, so both engines agree to the last digit.  The book is days x priorities, so it is staged once for all its uses in a query:
+        otherwise each of them would join lineitem with orders again.
         """
+        if self._book is None:
+            self._book = cut_lineage(self._joined_book())
+        return self._book
+
+    def _joined_book(self) -> DataFrame:
         l = self.lineitem.select("l_orderkey", "l_shipdate", F.col("l_extendedprice").cast("decimal(18,2)").alias("p"),
                                  F.col("l_quantity").cast("decimal(18,2)").alias("q"))
         j = l.join(self.orders.select("o_orderkey", "o_orderpriority"), l.l_orderkey == F.col("o_orderkey"))
