@@ -201,3 +201,20 @@ def test_structural_path_payoff(spark):
     p = spark.createDataFrame([(1, 1, 1, 2, date(2025, 1, 7), date(2025, 2, 1), date(2025, 2, 28))], "round_id int, period_id int, poi int, pow int, posted date, start date, end date")
     r = paths.structural_payoff(p, sp, cong, k=1).first()
     assert r["struct_trailing"] == pytest.approx(10 * 672, rel=0.01) and r["struct_seasonal"] == pytest.approx(10 * 672, rel=0.01) and r["struct_blend"] is not None
+
+
+def test_node_rows_are_not_moved_once_a_fold(spark):
+    """A node's rows are copied to the folds of its windows inside the task that holds the node."""
+    from datetime import date
+
+    from wattline.plans.folds import monthly_folds
+    from wattline.plans.nodes import node_coefficients
+
+    hours = spark.range(0, 400).selectExpr("id", "timestamp'2023-01-01' + make_interval(0, 0, 0, cast(id as int)) AS ts_utc")
+    prices = hours.selectExpr("ts_utc", "cast(ts_utc as timestamp_ntz) AS ts_local", "id % 3 AS ptid", "cast(id % 7 as double) AS mlc", "cast(id % 5 as double) AS mcc")
+    zones = hours.selectExpr("ts_utc", "'A' AS zone", "cast(id % 7 as double) / 2 AS da_mlc", "cast(id % 5 as double) / 4 AS da_mcc")
+    nodes = spark.range(0, 3).selectExpr("id AS ptid", "'A' AS zone")
+    g = node_coefficients(prices, nodes, zones, "da", monthly_folds(date(2024, 1, 1), date(2024, 4, 1), origin=date(2020, 1, 1)), min_obs=5)
+    assert "hashpartitioning(fold" not in g._jdf.queryExecution().executedPlan().toString()
+    rows = g.collect()
+    assert rows and all(r["b_loss"] == pytest.approx(2.0) and r["b_cong"] == pytest.approx(4.0) for r in rows if r["n_obs"] >= 5)

@@ -155,7 +155,8 @@ fx AS (SELECT fold, ptid, zone, CASE WHEN n_obs >= 80 THEN coalesce(al, 0) ELSE
 
 
 def _coefficients(t: Tables):
-    n = t.lineitem.groupBy(F.col("l_suppkey").alias("ptid"), F.date_trunc("day", "l_shipdate").alias("ts_utc")).agg((F.avg("l_extendedprice") / 1000).alias("mlc"), (-F.avg("l_quantity")).alias("mcc"))
+    l = t.lineitem.select(F.col("l_suppkey").alias("ptid"), F.date_trunc("day", "l_shipdate").alias("ts_utc"), "l_extendedprice", "l_quantity").repartition("ptid")      # as the coefficients need it: one exchange
+    n = l.groupBy("ptid", "ts_utc").agg((F.avg("l_extendedprice") / 1000).alias("mlc"), (-F.avg("l_quantity")).alias("mcc"))
     zone = F.element_at(F.array(*[F.lit(z) for z in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]), (F.col("s_nationkey") % 5 + 1).cast("int"))
     nodes = t.supplier.select(F.col("s_suppkey").alias("ptid"), zone.alias("zone"))
     z = t.book().select(F.col("d").cast("timestamp").alias("ts_utc"), "zone", F.col("da").alias("da_mlc"), (-F.col("rt")).alias("da_mcc"))

@@ -17,11 +17,12 @@ def node_coefficients(node_prices: DataFrame, nodes: DataFrame, zone_hourly: Dat
     """(fold, ptid, zone, a_loss, b_loss, a_cong, b_cong, n_obs) for all folds in one aggregate; weak nodes get (0, 1).
 
     The node fact is the large side: it is joined once with the node list and the hourly zone table, then every row is
-    counted for the folds whose window holds it.  Regression sums combine on the map side.
+    counted for the folds whose window holds it.  Rows are dealt by node once, and the zone table (zones x hours, whatever the
+    number of nodes) is sent to them, so the copies, up to one for each fold of a window, stay in their task and are never moved.
     """
-    j = (node_prices.select("ts_utc", F.to_date("ts_local").alias("delivery_date"), "ptid", F.col("mlc").alias("_nl"), (-F.col("mcc")).alias("_nc"))
+    j = (node_prices.select("ts_utc", F.to_date("ts_local").alias("delivery_date"), "ptid", F.col("mlc").alias("_nl"), (-F.col("mcc")).alias("_nc")).repartition("ptid")
          .join(nodes.select("ptid", "zone"), "ptid")
-         .join(zone_hourly.select("ts_utc", "zone", F.col(f"{market}_mlc").alias("_zl"), (-F.col(f"{market}_mcc")).alias("_zc")), ["zone", "ts_utc"]))
+         .join(F.broadcast(zone_hourly.select("ts_utc", "zone", F.col(f"{market}_mlc").alias("_zl"), (-F.col(f"{market}_mcc")).alias("_zc"))), ["zone", "ts_utc"]))
     g = spread_history(j, folds, window_days).groupBy("fold", "ptid", "zone").agg(
         F.regr_intercept("_nl", "_zl").alias("a_loss"), F.regr_slope("_nl", "_zl").alias("b_loss"), F.regr_intercept("_nc", "_zc").alias("a_cong"),
         F.regr_slope("_nc", "_zc").alias("b_cong"), F.regr_count("_nl", "_zl").alias("n_obs"))
