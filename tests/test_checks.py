@@ -52,3 +52,14 @@ def test_the_book_is_joined_once_a_query(spark):
     assert t.book() is t.book()
     plan = t.book().join(t.lagged_book(), ["d", "zone"])._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan and t.book().count() > 0
+
+
+def test_constraints_outside_the_catalogue_are_not_joined(spark):
+    from wattline.checks import network
+
+    t = trade.Tables(spark, ROOT)
+    c = network.catalogue(t).select("fold", "market", "key", (F.col("rank") - 1).cast("int").alias("c"))
+    want = network.shadow(t).withColumn("fold", F.year("d")).join(c, ["fold", "market", "key"])
+    got = network.indexed(t)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -15,7 +15,7 @@ from wattline.plans.nodes import node_coefficients, node_forecast
 from wattline.plans.registry import Registry, latest_per_model, latest_state
 from wattline.plans.structure import constraint_catalogue
 from wattline.plans.views import signal_constraints, signal_cobinding
-from wattline.session import checkpoint_dir
+from wattline.session import checkpoint_dir, cut_lineage
 
 K = 12
 # constraint = supplier, slot = ship day, shadow price = daily quantity; market by order priority group
@@ -24,8 +24,12 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"""
 CAT_SQL = f"""cat AS (SELECT yr, market, key, s, r FROM (SELECT year(d) AS yr, market, key, sum(mu) AS s, row_number() OVER (PARTITION BY year(d), market ORDER BY sum(mu) DESC, key) AS r FROM sp GROUP BY 1, 2, 3) WHERE r <= {K})"""
 
 
-def shadow(t: Tables):
-    j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+def shadow(t: Tables, keys=None):
+    """Daily quantity per constraint; of `keys` (key) only, which are then taken out before the join."""
+    l = t.lineitem
+    if keys is not None:
+        l = l.join(F.broadcast(keys.withColumnRenamed("key", "_key")), F.concat(F.lit("S"), F.col("l_suppkey")) == F.col("_key"), "left_semi")
+    j = l.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.groupBy(F.when(F.col("o_orderpriority") < "3", "da").otherwise("rt").alias("market"), F.to_date("l_shipdate").alias("d"),
                      F.concat(F.lit("S"), F.col("l_suppkey")).alias("key")).agg(F.sum("l_quantity").alias("mu")).withColumn("hr", F.lit(0))
 
@@ -36,8 +40,8 @@ def catalogue(t: Tables):
 
 
 def indexed(t: Tables):
-    c = catalogue(t).select("fold", "market", "key", (F.col("rank") - 1).cast("int").alias("c"))
-    return shadow(t).withColumn("fold", F.year("d")).join(c, ["fold", "market", "key"])
+    c = cut_lineage(catalogue(t).select("fold", "market", "key", (F.col("rank") - 1).cast("int").alias("c")))        # at most K keys a year and market
+    return shadow(t, c.select("key").distinct()).withColumn("fold", F.year("d")).join(c, ["fold", "market", "key"])
 
 
 @check("top_constraints", f"WITH {SHADOW_SQL}, {CAT_SQL} SELECT CAST(yr AS INTEGER) AS fold, market, key, s AS sum_abs, CAST(r AS INTEGER) AS rank FROM cat")
