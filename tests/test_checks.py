@@ -63,3 +63,10 @@ def test_constraints_outside_the_catalogue_are_not_joined(spark):
     got = network.indexed(t)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_meet_small_tables_where_they_are(spark, monkeypatch):
+    """Points of a band and lines of a flag are not gathered in one task for their join."""
+    for name, key in (("points_in_areas", "_band"), ("components_and_transform", "l_returnflag")):
+        plan = registered_queries()[name](spark, ROOT)._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan, key

@@ -52,13 +52,14 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: list[str],
     """(point id, area) for points inside an area given as polygon edges (area, x1, y1, x2, y2; holes and multiparts allowed).
 
     Each edge is filed under the horizontal bands of `cell` degrees it crosses, each point under its own band, so the
-    join is an equi-join on the band and a point only meets edges at its latitude.  Inside = odd number of crossings.
+    join is an equi-join on the band and a point only meets edges at its latitude.  The edges, a map of fixed size, are sent to
+    the points, so a band that holds many points is not one task's.  Inside = odd number of crossings.
     """
     band = lambda v: F.floor(v / F.lit(cell)).cast("long")                        # noqa: E731
     lines = edges.select(F.col(area), F.struct("x1", "y1", "x2", "y2").alias("_e"),
                          F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))).alias("_band"))
     spread = points.withColumn("_band", band(F.col(y)))
-    hits = spread.join(lines, "_band").filter(_crosses(F.col(x), F.col(y), "_e"))
+    hits = spread.join(F.broadcast(lines), "_band").filter(_crosses(F.col(x), F.col(y), "_e"))
     return hits.groupBy(*point_id, area).agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1").drop("_n")
 
 
