@@ -104,6 +104,7 @@ def components_and_transform(t: Tables):
                           (F.col("l_tax").cast("double") * 10 - 0.3).alias("c"))
     m = x.groupBy("l_returnflag").agg(F.avg("p").alias("mu"), F.stddev_pop("p").alias("sd"))
     z = stabilise(F.col("p"), F.col("mu"), F.col("sd"))
+    m = F.broadcast(m)                                   # a row a flag; else each flag's lines are one task's
     return rounded(x.join(m, "l_returnflag").select("k", "i", *[c.alias(n) for n, c in price_components("p", "l", "c").items()], z.alias("z"), destabilise(z, F.col("mu"), F.col("sd")).alias("back")))
 
 
