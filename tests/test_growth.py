@@ -3,7 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from wattline.checks.base import Tables
+from wattline.checks.network import constraint_windows, shadow
 from wattline.operators.ordered import _place, exact_quantiles
+from wattline.plans.structure import constraint_catalogue
 
 
 def plan(df) -> str:
@@ -29,3 +32,26 @@ def test_place_counts_the_cuts_below(spark):
         short = rows.withColumn("c", F.slice("c", 1, max(n - 1, 1)))
         for df in (rows, short):
             assert _place(df, "c", "v", n, "b").where("b != size(filter(c, x -> x < v))").count() == 0
+
+
+def test_catalogue_reads_the_shadow_rows_once(spark):
+    rows = [("da", "2001-01-01", 0, "a", 2.0), ("da", "2001-01-01", 0, "a", -3.0), ("da", "2001-01-01", 1, "a", 1.0), ("da", "2001-02-01", 0, "b", 9.0), ("da", "2001-08-01", 0, "b", 50.0),
+            ("rt", "2001-01-05", 0, None, 4.0), ("rt", "2001-01-05", None, "c", 1.0), ("rt", "2002-06-30", 0, "c", None)]
+    rows = spark.createDataFrame(rows, "market string, d string, hr int, key string, mu double").withColumn("d", F.to_date("d"))
+    windows = spark.createDataFrame([(2001, "2001-01-01", "2001-06-30"), (2002, "2002-01-01", "2002-06-30")], "fold int, window_start string, window_end string")
+    windows = windows.withColumns({c: F.to_date(c) for c in ("window_start", "window_end")})
+    c = constraint_catalogue(rows, windows, 2)
+    assert plan(c).count("RDD [market#") == 1
+    want = {(2001, "da", "b", 1, 9.0, 1), (2001, "da", "a", 2, 6.0, 2), (2001, "rt", None, 1, 4.0, 1), (2001, "rt", "c", 2, 1.0, 1), (2002, "rt", "c", 1, None, 1)}
+    assert {(r["fold"], r["market"], r["key"], r["rank"], r["sum_abs_shadow"], round(r["bind_rate"] * 181 * 24)) for r in c.collect()} == want
+    slots = rows.groupBy("market", "d", "hr", "key").agg(F.sum(F.abs("mu")).alias("mu"))
+    assert set(constraint_catalogue(slots, windows, 2, one_row_a_slot=True).collect()) == set(c.collect())
+
+
+def test_constraint_windows_join_lines_of_their_days_once(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    p = plan(constraint_windows(t))
+    assert p.count("Relation [l_orderkey") == 1
+    days = spark.createDataFrame([("1997-01-05",), ("1997-03-01",)], "d string").withColumn("d", F.to_date("d"))
+    assert shadow(t, days=days).exceptAll(shadow(t).where("d in (date'1997-01-05', date'1997-03-01')")).count() == 0
+    assert shadow(t, days=days).count() == shadow(t).where("d in (date'1997-01-05', date'1997-03-01')").count() > 0

@@ -13,7 +13,7 @@ from wattline.operators.sparse import cobinding, gram, key_drift, matrix_drift,
 from wattline.plans.folds import assign_test_fold
 from wattline.plans.nodes import node_coefficients, node_forecast
 from wattline.plans.registry import Registry, latest_per_model, latest_state
-from wattline.plans.structure import constraint_catalogue
+from wattline.plans.structure import constraint_catalogue, window_days
 from wattline.plans.views import signal_constraints, signal_cobinding
 from wattline.session import checkpoint_dir, cut_lineage
 
@@ -24,9 +24,11 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"""
 CAT_SQL = f"""cat AS (SELECT yr, market, key, s, r FROM (SELECT year(d) AS yr, market, key, sum(mu) AS s, row_number() OVER (PARTITION BY year(d), market ORDER BY sum(mu) DESC, key) AS r FROM sp GROUP BY 1, 2, 3) WHERE r <= {K})"""
 
 
-def shadow(t: Tables, keys=None):
-    """Daily quantity per constraint; of `keys` (key) only, which are then taken out before the join."""
+def shadow(t: Tables, keys=None, days=None):
+    """Daily quantity per constraint; of `keys` (key) or `days` (d) only, which are then taken out before the join."""
     l = t.lineitem
+    if days is not None:
+        l = l.join(F.broadcast(days.select(F.col("d").alias("_d")).distinct()), F.to_date("l_shipdate") == F.col("_d"), "left_semi")
     if keys is not None:
         l = l.join(F.broadcast(keys.withColumnRenamed("key", "_key")), F.concat(F.lit("S"), F.col("l_suppkey")) == F.col("_key"), "left_semi")
     j = l.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -85,8 +87,8 @@ c AS (SELECT fold, market, key, sum(mu) AS s, count(DISTINCT d) AS h, row_number
 SELECT fold, market, key, CAST(r AS INTEGER) AS rank, s AS sum_abs_shadow, round(h / ((make_date(fold, 6, 30) - make_date(fold, 1, 1) + 1) * 24), 6) AS bind_rate, make_date(fold, 1, 1) AS window_start, make_date(fold, 6, 30) AS window_end FROM c WHERE r <= {K}""")
 def constraint_windows(t: Tables):
     y = t.orders.select(F.year("o_orderdate").alias("fold")).distinct()
-    w = y.select("fold", F.make_date("fold", F.lit(1), F.lit(1)).alias("window_start"), F.make_date("fold", F.lit(6), F.lit(30)).alias("window_end"))
-    return rounded(constraint_catalogue(shadow(t), w, K))
+    w = cut_lineage(y.select("fold", F.make_date("fold", F.lit(1), F.lit(1)).alias("window_start"), F.make_date("fold", F.lit(6), F.lit(30)).alias("window_end")))
+    return rounded(constraint_catalogue(shadow(t, days=window_days(w)), w, K, one_row_a_slot=True))
 
 
 def _factors(t: Tables):

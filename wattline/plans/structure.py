@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.operators.sparse import cobinding, key_drift, matrix_drift, subspace_drift, top_keys
+from wattline.operators.ordered import top_per_group
+from wattline.operators.sparse import cobinding, key_drift, matrix_drift, subspace_drift
 
 SLOT = ["d", "hr"]
 
 
-def constraint_catalogue(shadow: DataFrame, windows: DataFrame, k: int = 60) -> DataFrame:
+def window_days(windows: DataFrame) -> DataFrame:
+    """The windows laid out on days: folds x calendar days."""
+    return windows.withColumn("d", F.explode(F.sequence("window_start", "window_end")))
+
+
+def constraint_catalogue(shadow: DataFrame, windows: DataFrame, k: int = 60, one_row_a_slot: bool = False) -> DataFrame:
     """(fold, market, key, rank, sum_abs_shadow, bind_rate, window_start, window_end).
 
-    `windows` (fold, window_start, window_end) is laid out on days, so each shadow row meets its folds by an equi-join.
+    `windows` (fold, window_start, window_end) is laid out on days and sent to the shadow rows; one pass over them gives sums and hours.  `one_row_a_slot` says
+    that shadow has no two rows of one market, key and slot, so that the slots are counted without being told apart once more.
     """
-    days = windows.withColumn("d", F.explode(F.sequence("window_start", "window_end")))
-    sp = shadow.join(days, "d")
-    top = top_keys(sp, ["fold", "market"], "key", "mu", k)
-    hours = sp.select("fold", "market", "key", *SLOT).distinct().groupBy("fold", "market", "key").agg(F.count(F.lit(1)).alias("_h"))
-    j = top.join(hours, ["fold", "market", "key"]).join(windows, "fold")
+    inside = shadow.join(F.broadcast(window_days(windows)), "d")
+    hours = F.count(F.lit(1)) if one_row_a_slot else F.count_distinct(F.struct(*SLOT))
+    sums = inside.groupBy("fold", "market", "key", "window_start", "window_end").agg(F.sum(F.abs("mu")).alias("sum_abs"), hours.alias("_h"))
+    top = top_per_group(sums, ["fold", "market"], [F.desc("sum_abs"), F.asc("key")], k)
     span = (F.datediff("window_end", "window_start") + 1) * 24
-    return j.select("fold", "market", "key", "rank", F.col("sum_abs").alias("sum_abs_shadow"), (F.col("_h") / span).alias("bind_rate"), "window_start", "window_end")
+    return top.select("fold", "market", "key", "rank", F.col("sum_abs").alias("sum_abs_shadow"), (F.col("_h") / span).alias("bind_rate"), "window_start", "window_end")
 
 
 def build(shadow: DataFrame, catalogue: DataFrame, zone_factors: DataFrame, node_factors: DataFrame, node_fit: DataFrame, nodes: DataFrame, k: int = 60,
