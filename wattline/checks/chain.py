@@ -58,8 +58,7 @@ def holdout_chain(t: Tables):
     folds = t.folds()
     validation, holdout = [f for f in folds if f.test_start < SPLIT], [f for f in folds if f.test_start >= SPLIT]
     members = {"day": Lagged("day", "da_l1", "da_l7"), "week": Lagged("week", "da_l7", "da_l1")}
-    for m in members.values():
-        backtest.run(reg, m, panel, validation)
+    backtest.run_all(reg, list(members.values()), panel, validation)
     recipe = Clipped(Combined(tuple(Stored(n) for n in members), "inv_mae"))
     run_id = continue_over_holdout(reg, "mix", recipe, members, panel, validation, holdout, quantiles="model")["mix_holdout"]
     weight = reg.artifact(run_id, "weights_0").where("part = 0").select("fold", "market", "weight")

@@ -119,21 +119,19 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     wanted = (wanted.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(pos), F.ceil(pos)))))
               .filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto")))
               .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_b"), "_before", "_total",
-                      F.col("_p.i").alias("_i"), F.col("_p.p").alias("_prob"), "_rank"))
-    need = wanted.select(*[f"_k{i}" for i in range(len(keys))], "_b").distinct()
+                      F.col("_p.i").alias("_i"), "_rank"))
+    group = [f"_k{i}" for i in range(len(keys))]
+    per_bin_wanted = wanted.groupBy(*group, "_b").agg(F.first("_before").alias("_before"), F.first("_total").alias("_total"), F.collect_list(F.struct("_i", "_rank")).alias("_ranks"))
     on_bin = F.col("_bin") == F.col("_b")
     for i, k in enumerate(keys):
         on_bin = on_bin & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     inside = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = located.join(need, on_bin, "left_semi").withColumn("_hi", F.sum("_n").over(inside))
-    hits = ranked.join(wanted, on_bin).filter(
-        (F.col("_rank") < F.col("_before") + F.col("_hi")) & (F.col("_rank") >= F.col("_before") + F.col("_hi") - F.col("_n")))
-    at = hits.groupBy(*keys, "_i").agg(
-        F.first("_prob").alias("_prob"), F.first("_total").alias("_total"),
-        F.min_by(value, "_rank").alias("_lo"), F.max_by(value, "_rank").alias("_up"))
-    frac = F.col("_prob") * (F.col("_total") - 1) - F.floor(F.col("_prob") * (F.col("_total") - 1))
-    at = at.withColumn("_q", F.col("_lo") + (F.col("_up") - F.col("_lo")) * frac)
-    return at.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+    ranked = located.join(per_bin_wanted, on_bin).withColumn("_hi", F.col("_before") + F.sum("_n").over(inside)).withColumn("_r", F.explode("_ranks"))
+    hits = ranked.filter((F.col("_r._rank") < F.col("_hi")) & (F.col("_r._rank") >= F.col("_hi") - F.col("_n")))
+    mine = lambda i, agg: agg(F.when(F.col("_r._i") == i, F.struct("_r._rank", F.col(value).alias("v"))))["v"]                      # noqa: E731
+    at = hits.groupBy(*keys).agg(F.first("_total").alias("_total"), *[x for i in range(len(probs)) for x in (mine(i, F.min).alias(f"_lo{i}"), mine(i, F.max).alias(f"_up{i}"))])
+    place = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
+    return at.select(*keys, *[(F.col(f"_lo{i}") + (F.col(f"_up{i}") - F.col(f"_lo{i}")) * (x - F.floor(x))).alias(n) for i, (x, n) in enumerate(zip(place, names, strict=True))])
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

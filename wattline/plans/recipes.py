@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wattline.models.residuals import oos_quantiles
 from wattline.plans import postprocess as P
-from wattline.plans.backtest import Model, fold_scores, run
+from wattline.plans.backtest import Model, fold_scores, run, run_all
 from wattline.plans.folds import Fold, guard
 from wattline.plans.registry import Registry
 from wattline.session import cut_lineage
@@ -187,16 +187,16 @@ def continue_over_holdout(registry: Registry, name: str, recipe: Recipe, models:
     benchmarks run on the holdout months.  The panel has to hold the days of both spans."""
     for f in holdout:
         guard(f.test_start)
-    lineage, stored = {}, {}
-    for part in recipe.names():
-        row = registry.latest_runs([part]).first()
-        if row is None:
+    parts, tests = recipe.names(), [f.name for f in validation + holdout]
+    lineage = {r["model"]: r["run_id"] for r in registry.latest_runs(parts).collect()}
+    for part in parts:
+        if part not in lineage:
             raise ValueError(f"{part} has no finished validation run")
-        model = copy(models[part])
+    again = [copy(models[part]) for part in parts]
+    for part, model in zip(parts, again, strict=True):
         model.name = f"{part}_holdout"
-        lineage[part], lineage[model.name] = row["run_id"], run(registry, model, panel, holdout, reference, quantiles)
-        tests = [f.name for f in validation + holdout]
-        stored[part] = registry.predictions(lineage[part], lineage[model.name]).where(F.col("fold").isin(tests)).drop("run_id", "fold")
+    lineage |= zip([m.name for m in again], run_all(registry, again, panel, holdout, reference, quantiles), strict=True)
+    stored = {part: registry.predictions(lineage[part], lineage[f"{part}_holdout"]).where(F.col("fold").isin(tests)).drop("run_id", "fold") for part in parts}
     lineage[f"{name}_holdout"] = run_recipe(registry, f"{name}_holdout", recipe, Source(stored, panel, validation + holdout))
     for b in benchmarks:
         b = copy(b)
